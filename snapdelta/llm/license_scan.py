@@ -59,6 +59,11 @@ CUE = r"(?i)licen[cs]|copyright|redistribut|permission (?:to|is)|public domain|u
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
 
 
+def plain(text: str) -> bytes:
+    """Text as it is compressed: without case and spacing."""
+    return " ".join(text.lower().split()).encode()
+
+
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -75,7 +80,7 @@ class Scanner:
         self.best, self.max_changes = best, max_changes
         make = lambda d=None: zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.alone = make()
-        self.templates = [(name, words(text), make(zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
+        self.templates = [(name, words(text), make(zstandard.ZstdCompressionDict(plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
         self.empty = len(self.alone.compress(b""))
 
     def differences(self, template: list[str], block: list[str]) -> tuple[int, bool]:
@@ -91,7 +96,7 @@ class Scanner:
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """(share saved, template's number), best first."""
-        data = block.encode()
+        data = plain(block)
         whole = max(1, len(self.alone.compress(data)) - self.empty)
         return sorted((((whole - (len(tool.compress(data)) - self.empty)) / whole, k) for k, (_, _, tool) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
 

@@ -109,7 +109,7 @@ def distance(p: Column, q: Column) -> Column:
     scaled = lambda a: let(total(a), lambda t: F.when(t > 0, F.transform(a, lambda x: x / t)))
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
     inner = lambda a, b: total(F.zip_with(a, b, lambda x, y: part(x, y) + part(y, x))) / 2
-    return let(scaled(p), lambda a: let(scaled(q), lambda b: F.sqrt(F.greatest(inner(a, b), F.lit(0.0)))))
+    return let(scaled(p), lambda a: let(scaled(q), lambda b: F.when(a.isNotNull() & b.isNotNull(), F.sqrt(F.greatest(inner(a, b), F.lit(0.0))))))
 
 
 def measure(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:

@@ -159,16 +159,18 @@ class WarcReader(ds.DataSourceReader):
         system, path = open_folder(self.path)
         found = system.get_file_info(pafs.FileSelector(path, recursive=True))
         files = sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
-        out, held = [], self.share
+        out, held = [], 0
         for f in files:
-            if held + f.size > self.share and held:
+            if not out or held + f.size > self.share:
                 out.append(Files([]))
                 held = 0
             out[-1].paths.append(f.path)
             held += f.size
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         system, _ = open_folder(self.path)
         kinds = [pa.string()] * 6 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = NAMES

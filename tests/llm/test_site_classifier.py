@@ -1,0 +1,66 @@
+import pytest
+
+from snapdelta.llm import site_classifier as Q
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    held = labels.where("doc_id % 5 = 0")
+    got = Q.judge(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 5 <> 0"), max_labelled=2000).join(held, "doc_id").collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert len(good) > 500 and len(bad) > 50
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_sparse_sites_shrink_toward_their_parents(spark):
+    rows = [("a", "a|x", 0.9)] * 400 + [("a", "a|y", 0.1)] + [("b", "b|x", 0.2)] * 400 + [("c", "c|x", 0.0)]
+    got = {r.path: r for r in Q.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    prior = got["a|x"].prior
+    assert prior == pytest.approx(sum(r[2] for r in rows) / len(rows))
+    assert abs(got["a|x"].path_rate - 0.9) < 0.02 and abs(got["b|x"].path_rate - 0.2) < 0.02
+    assert got["a|y"].path_rate > 0.6  # one document doesn't make a bad path of a good host
+    assert 0.2 < got["c|x"].host_rate < prior
+
+
+def test_posteriors_equal_plain_sums(spark):
+    import math
+
+    rows = [(h, f"{h}|{k}", ((k * 7 + len(h)) % 10) / 10) for h in ("p", "qq", "rrr") for k in [1] * 9 + [2] * 4 + [3]]
+    got = {r.path: r for r in Q.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+
+    def level(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(r[key], (0, 0.0))
+            out[r[key]] = n + 1, s + r[2]
+        return out
+
+    def strength(sites):
+        total = sum(n for n, _ in sites.values())
+        mean = sum(s for _, s in sites.values()) / total
+        spread = sum(n * (s / n) ** 2 for n, s in sites.values()) / total - mean**2
+        between = max(spread - mean * (1 - mean) * len(sites) / total, 1e-9)
+        return mean, min(max(mean * (1 - mean) / between, 5), 10000)
+
+    hosts, paths = level(0), level(1)
+    prior, hs = strength(hosts)
+    _, ps = strength(paths)
+    for path, (n, s) in paths.items():
+        hn, h = hosts[path.split("|")[0]]
+        host = (h + hs * prior) / (hn + hs)
+        assert math.isclose(got[path].host_rate, host, rel_tol=1e-9) and math.isclose(got[path].path_rate, (s + ps * host) / (n + ps), rel_tol=1e-9)
+
+
+def test_awkward_rows(spark, docs):
+    labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(30)] + [(None, 1, 0), (101, 0, None), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = Q.judge(docs, labels)
+    assert got.count() == docs.count() and got.where("kept is null or score is null").count() == 0
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    none = Q.judge(docs, labels.limit(0))
+    assert none.where("not kept").count() == 0 and {r.evidence for r in none.collect()} == {0.5}
+    assert Q.judge(docs.limit(0), labels).count() == 0
+    many = Q.judge(docs, labels, max_sites=1)  # the shuffled join of more sites than are broadcast
+    key = lambda rows: sorted((str(r.doc_id), round(r.score, 9)) for r in rows)
+    assert key(many.collect()) == key(got.collect())
