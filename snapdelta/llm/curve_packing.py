@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Each document's words are hashed into a vector, which a fixed random matrix projects to three
-dimensions; the Hilbert index of that point is its key. Documents are range-sorted by key, and each
+Each document's four-byte stretches are hashed into a vector of counts, which a fixed random matrix
+projects to three dimensions; the Hilbert index of that point is its key. Documents are range-sorted by key, and each
 range is tokenised in that order and cut into sequences of ``length`` ids, so neighbours on the
 curve share sequences and nothing but the end of a range is left over. That rest is cut into
 sequences whose sizes are powers of two, which need no padding.
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from snapdelta.llm.common import bounded_batches, quiet_threads, text_of
 
-DIMENSIONS, BITS, HASHED = 3, 16, 1 << 16
-SPREAD = 0.5  # projections of mean word vectors lie well inside -SPREAD..SPREAD
+DIMENSIONS, BITS, HASHED = 3, 16, 1 << 12
+SPREAD = 0.5  # projections of vectors of shares lie well inside -SPREAD..SPREAD
 _RANGE = 40  # bits of a sequence id below the range's number
 
 
@@ -41,15 +41,16 @@ def _matrix() -> np.ndarray:
 
 
 def project(text: str) -> np.ndarray:
-    """The point of a text: the mean of its words' rows of the matrix, as unsigned coordinates."""
-    words = text.encode().lower().split()
-    if not words:
+    """The point of a text, as unsigned coordinates: its hashed vector, scaled to shares, times the matrix."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) < 4:
         return np.zeros(DIMENSIONS, np.int64)
-    total, crc = np.zeros(DIMENSIONS), zlib.crc32
-    for start in range(0, len(words), 1 << 16):
-        part = words[start : start + (1 << 16)]
-        total += _matrix()[np.fromiter(map(crc, part), np.uint32, len(part)) & (HASHED - 1)].sum(axis=0)
-    scaled = (total / len(words) + SPREAD) / (2 * SPREAD) * (1 << BITS)
+    counts = np.zeros(HASHED)
+    for start in range(0, len(raw) - 3, 1 << 20):
+        part = raw[start : start + (1 << 20) + 3].astype(np.uint32)
+        grams = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        counts += np.bincount((grams * np.uint32(2654435761)) >> np.uint32(20), minlength=HASHED)
+    scaled = (counts @ _matrix() / (len(raw) - 3) + SPREAD) / (2 * SPREAD) * (1 << BITS)
     return np.clip(scaled, 0, (1 << BITS) - 1).astype(np.int64)
 
 

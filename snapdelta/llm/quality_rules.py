@@ -36,28 +36,31 @@ class Limits:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    """Trimmed before it is split, so that no empty word has to be filtered out."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
-def _count(text: Column, others: str) -> Column:
-    """Characters of ``text`` outside the runs that ``others`` matches."""
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
+def _without(text: Column, run: str) -> Column:
+    return F.regexp_replace(text, run, "")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words in five-word windows that occur twice or more in the text."""
     size = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
+    hashed = lambda all_: F.transform(all_, lambda w, i: F.xxhash64(w, *(F.get(all_, i + k) for k in range(1, WINDOW))))
+    windows = F.slice(let(F.transform(words, lambda w: F.xxhash64(w)), hashed), F.lit(1), F.greatest(size - (WINDOW - 1), F.lit(0)))
 
     def covered(keys: Column) -> Column:
-        pairs = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        starts = let(pairs, lambda s: F.sort_array(F.transform(F.filter(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), ((F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))).alias("twice"))), lambda x: x["twice"]), lambda x: x["i"])))
+        pairs = F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twice = lambda s, x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+        starts = let(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: twice(s, x, k)), lambda x: x["i"])))
         # each window adds the words that the one before it hasn't covered
         return let(starts, lambda p: F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get(p, k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    counted = let(windows, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0).cast("long")).otherwise(covered(k)))
-    return F.when(size <= WINDOW, F.lit(0).cast("long")).otherwise(counted)
+    none = F.lit(0).cast("long")
+    counted = let(windows, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), none).otherwise(covered(k)))
+    return F.when(size <= WINDOW, none).otherwise(counted)
 
 
 def _dup_lines(text: Column) -> Column:
@@ -65,35 +68,37 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def _short(words: Column, limits: Limits) -> Column:
-    return F.filter(words, lambda w: F.length(w) <= limits.short_word)
+def _with_counts(df: DataFrame) -> DataFrame:
+    """Adds the words of ``__body`` and the counts that the histograms are made of, each computed once."""
+    body = F.col("__body")
+    marked = df.withColumns({"__words": words_of(body), "__marks": _without(body, r"\P{Punct}+")})
+    return marked.withColumns({
+        "__n": F.size("__words").cast("long"), "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "__symbols": F.length(_without(F.col("__marks"), "[^#*$%&|<>]+")).cast("long"), "__mark_count": F.length("__marks").cast("long"),
+        "__upper": F.length(_without(body, "[^A-Z]+")).cast("long"), "__digit": F.length(_without(body, "[^0-9]+")).cast("long"),
+        "__chars": F.length(body).cast("long"), "__bytes": F.octet_length(body).cast("long"),
+    })
 
 
-def _class_counts(text: Column, word_chars: Column, n_symbols: Column) -> list[Column]:
+def _class_counts() -> list[Column]:
     """In the order of CLASSES; ``wide`` has the bytes beyond one a character."""
-    chars = F.length(text).cast("long")
-    upper, digit = _count(text, "[^A-Z]+"), _count(text, "[^0-9]+")
-    marks = _count(text, r"[^!-/:-@\[-`{-~]+")
-    space = chars - word_chars
-    return [chars - upper - digit - marks - space, upper, digit, space, n_symbols, marks - n_symbols, F.octet_length(text).cast("long") - chars]
+    c = {n: F.col(f"__{n}") for n in ("word_chars", "symbols", "mark_count", "upper", "digit", "chars", "bytes")}
+    return [c["word_chars"] - c["upper"] - c["digit"] - c["mark_count"], c["upper"], c["digit"], c["chars"] - c["word_chars"], c["symbols"], c["mark_count"] - c["symbols"], c["bytes"] - c["chars"]]
 
 
 def references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """(language, classes, common, common_shares): what all documents of a language add up to.
 
-    Map-side sums; words that are longer than ``short_word`` never leave their row.
+    Two scans with map-side sums, one of character classes and one of words (one aggregation of both
+    makes a method too long for the JVM to compile). Words longer than ``short_word`` stay in their task.
     """
-    seen = df.select(F.coalesce(F.col(lang), F.lit("")).alias("language"), text_of(text).alias("body")).withColumn("words", words_of(F.col("body")))
-    word_chars = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    counts = _class_counts(F.col("body"), word_chars, _count(F.col("body"), "[^#*$%&|<>]+"))
-    rows = seen.select("language", *(c.alias(n) for c, n in zip(counts, CLASSES, strict=True)), F.size("words").alias("n"), _short(F.col("words"), limits).alias("short"))
-    # one scan: a row of sums for each document and a row for each short word, told apart by a null word
-    exploded = rows.select("language", "n", *CLASSES, F.explode(F.concat(F.array(F.lit(None).cast("string")), "short")).alias("word"))
-    own = F.col("word").isNull()
-    sums = exploded.groupBy("language", "word").agg(*(F.sum(F.when(own, F.col(c))).alias(c) for c in (*CLASSES, "n")), F.count("*").alias("hits"))
-    totals = sums.where(own).select("language", F.array(*CLASSES).alias("classes"), "n")
+    language, body = F.coalesce(F.col(lang), F.lit("")).alias("language"), text_of(text).alias("__body")
+    counts = _with_counts(df.select(language, body)).select("language", F.array(*_class_counts()).alias("c"), F.col("__n").alias("n"))
+    totals = counts.groupBy("language").agg(F.array(*(F.sum(F.get("c", F.lit(k))) for k in range(len(CLASSES)))).alias("classes"), F.sum("n").alias("n"))
+    words = df.select(language, F.explode(words_of(text_of(text))).alias("word")).where(F.length("word") <= limits.short_word)
+    sums = words.groupBy("language", "word").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("hits"), "word"))
-    top = sums.where(~own).select("language", "word", "hits").withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
+    top = sums.withColumn("rank", rank).where(F.col("rank") <= limits.common_words)
     common = top.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "hits"))).alias("top"))
     share = lambda x: x["hits"] / F.col("n")
     return totals.join(common, "language", "left").select(
@@ -106,7 +111,7 @@ def references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lan
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of weights; null where one has no weight."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    scaled = lambda a: let(total(a), lambda t: F.when(t > 0, F.transform(a, lambda x: x / t)))
+    scaled = lambda a: let(a, lambda v: let(total(v), lambda t: F.when(t > 0, F.transform(v, lambda x: x / t))))
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
     inner = lambda a, b: total(F.zip_with(a, b, lambda x, y: part(x, y) + part(y, x))) / 2
     return let(scaled(p), lambda a: let(scaled(q), lambda b: F.when(a.isNotNull() & b.isNotNull(), F.sqrt(F.greatest(inner(a, b), F.lit(0.0))))))
@@ -124,33 +129,22 @@ def measure(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     reference = reference.select(*(F.col(c).alias(f"__{c}") for c in known.columns))
     if len(rows) <= 10_000:
         reference = F.broadcast(reference)
-    body = text_of(text)
-    joined = df.join(reference, F.coalesce(F.col(lang), F.lit("")) == F.col("__language"), "left")
-
-    def counts(words: Column) -> Column:
-        short = _short(words, limits)
-        hits = lambda s: F.filter(F.transform(s, lambda w: F.array_position(F.col("__common"), w)), lambda k: k > 0)
-        bins = let(hits(short), lambda h: F.transform(F.col("__common"), lambda _, k: F.size(F.filter(h, lambda x: x == k + 1)).cast("double")))
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-            _repeat_words(words).alias("n_repeat_words"),
-            bins.alias("bins"),
-        )
-
-    first = joined.withColumns({"__w": let(words_of(body), counts), "__symbols": _count(body, "[^#*$%&|<>]+"), "__lines": _dup_lines(body), "__chars": F.length(body)})
-    w = F.col("__w")
-    classes = F.transform(F.array(*_class_counts(body, w["word_chars"], F.col("__symbols"))), lambda x: x.cast("double"))
-    rest = lambda bins, whole: F.concat(bins, F.array(F.greatest(whole - F.aggregate(bins, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
-    second = first.withColumns({
-        "__class_distance": F.when(F.col("__chars") >= limits.guard_chars, distance(classes, F.transform("__classes", lambda x: x.cast("double")))),
-        "__word_distance": F.when(w["n_words"] >= limits.guard_words, distance(rest(w["bins"], w["n_words"].cast("double")), rest(F.col("__common_shares"), F.lit(1.0)))),
-        "__failed": (w["n_words"] < limits.min_words) | (100 * w["n_repeat_words"] > limits.max_repeat_percent * w["n_words"]),
+    joined = df.withColumn("__body", text_of(text)).join(reference, F.coalesce(F.col(lang), F.lit("")) == F.col("__language"), "left")
+    words = F.col("__words")
+    # how many words go with each common word, by the places of those that are common
+    hits = F.filter(F.transform(words, lambda w: F.array_position("__common", w)), lambda k: k > 0)
+    bins = let(hits, lambda h: F.transform("__common", lambda _, k: (F.size(h) - F.size(F.array_remove(h, (k + 1).cast("long")))).cast("double")))
+    counted = _with_counts(joined).withColumns({"__repeats": _repeat_words(words), "__bins": bins, "__lines": _dup_lines(F.col("__body")), "__counts": F.array(*(c.cast("double") for c in _class_counts()))})
+    rest = lambda a, whole: let(a, lambda v: F.concat(v, F.array(F.greatest(whole - F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))))
+    second = counted.withColumns({
+        "__class_distance": F.when(F.length("__body") >= limits.guard_chars, distance(F.col("__counts"), F.transform("__classes", lambda x: x.cast("double")))),
+        "__word_distance": F.when(F.col("__n") >= limits.guard_words, distance(rest(F.col("__bins"), F.col("__n").cast("double")), rest(F.col("__common_shares"), F.lit(1.0)))),
+        "__failed": (F.col("__n") < limits.min_words) | (100 * F.col("__repeats") > limits.max_repeat_percent * F.col("__n")),
     })
     near = (F.coalesce(F.col("__class_distance"), F.lit(0.0)) <= limits.max_class_distance) & (F.coalesce(F.col("__word_distance"), F.lit(0.0)) <= limits.max_word_distance)
     made = F.struct(
-        w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__lines").alias("n_dup_lines"),
-        w["n_repeat_words"].alias("n_repeat_words"), F.col("__failed").alias("base_failed"), (~F.col("__failed") & near).alias("kept"),
+        F.col("__n").alias("n_words"), F.col("__word_chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__lines").alias("n_dup_lines"),
+        F.col("__repeats").alias("n_repeat_words"), F.col("__failed").alias("base_failed"), (~F.col("__failed") & near).alias("kept"),
         F.col("__class_distance").alias("class_distance"), F.col("__word_distance").alias("word_distance"),
     )
     return second.select(*df.columns, made.alias("__m"))
