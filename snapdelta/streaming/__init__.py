@@ -1,0 +1 @@
+"""Comparisons are of two finished snapshots; nothing here is a stream."""
