@@ -99,6 +99,7 @@ SEPARABLE = {
 }
 #: White space and A-Z as that normalizer takes them, for texts of Latin-1 characters only.
 _TABLE = bytes(0x20 if c in (9, 10, 11, 12, 13, 0x85, 0xA0) else ord(chr(c).lower()) for c in range(256))
+_MARKS = tuple(bytes([c]) for c in b".,;:!?")
 
 
 class Tokens:
@@ -132,9 +133,16 @@ class Tokens:
             if len(known) + len(new) > self.remember:
                 known.clear()
                 new = set(stretches)
-            fresh = list(new)
+            # letters and one mark after them are never merged, so such a stretch is put together from its parts
+            joined = [s for s in new if s[-1:] in _MARKS and s[:-1].decode("latin-1").isalpha()]
+            bare = new.difference(joined)
+            bare.update(s[:-1] for s in joined if s[:-1] not in known)
+            bare.update(s[-1:] for s in joined if s[-1:] not in known)
+            fresh = list(bare)
             for s, e in zip(fresh, self.tool.encode_batch_fast([s.decode("latin-1") for s in fresh], add_special_tokens=False), strict=True):
                 known[s] = np.array(e.ids, "<u4").tobytes()
+            for s in joined:
+                known[s] = known[s[:-1]] + known[s[-1:]]
         return b"".join(map(known.__getitem__, stretches))
 
 
