@@ -36,34 +36,31 @@ def rotate(turns: DataFrame, block: int = 256) -> DataFrame:
     a conversation that holds a third of all rows is still summed in many tasks.
     """
     speaker = F.coalesce(F.col("role"), F.lit(""))
-    said = turns.select("conv_id", "turn", speaker.alias("speaker"), text_of().alias("said"))
-    people = said.where(~F.col("speaker").isin(NOT_A_PARTICIPANT)).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.count("*").alias("own_turns"))
-    seen = said.join(people.select(F.col("conv_id").alias("__conv"), "perspective"), F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
-    own = F.col("speaker") == F.col("perspective")
-    head = F.when(F.col("speaker") == "system", F.lit("<|system|>")).when(own, F.lit("<|assistant|>")).otherwise(F.concat(F.lit("<|user:"), _plain(F.when(F.col("speaker") == "", "unknown").otherwise(F.col("speaker"))), F.lit("|>")))
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))  # never null, so that joins and windows share one partitioning
+    said = turns.select("conv_id", key.alias("__conv"), "turn", speaker.alias("speaker"), text_of().alias("said"))
+    people = said.where(~F.col("speaker").isin(NOT_A_PARTICIPANT)).select("__conv", F.col("speaker").alias("perspective")).distinct()
+    own, system = F.col("speaker") == F.col("perspective"), F.col("speaker") == "system"
+    user = F.concat(F.lit("<|user:"), _plain(F.when(F.col("speaker") == "", "unknown").otherwise(F.col("speaker"))), F.lit("|>"))
+    head = F.concat(F.when(system, F.lit("<|system|>")).when(own, F.lit("<|assistant|>")).otherwise(user), F.lit("\n"))
     body = F.concat(_plain(F.col("said")), F.lit("<|end|>"))
-    shaped = seen.select(
-        "conv_id", "perspective", "turn", "speaker", "said",
-        F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user").alias("role"),
-        own.alias("trained"), F.concat(head, F.lit("\n")).alias("head"), body.alias("body"),
-        F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).alias("block"),
-    ).withColumn("length", F.length("head") + F.length("body") + 1)
-    group = ["conv_id", "perspective"]
+    # the text is dealt once with its turn and once for each perspective; segments are put together at the end
+    shaped = said.join(people, "__conv").withColumns({
+        "role": F.when(system, "system").when(own, "assistant").otherwise("user"), "trained": own,
+        "head_length": F.length(head), "body_length": F.length(body), "block": F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))),
+    }).withColumn("length", F.col("head_length") + F.col("body_length") + 1)
+    group = ["__conv", "perspective"]
     sums = shaped.groupBy(*group, "block").agg(F.sum("length").alias("chars"), F.count("*").alias("turns"))
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*(F.col(c).alias(f"__{c}") for c in (*group, "block")), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("base_turns"))
-    same = F.col("block") == F.col("__block")
-    for c in group:
-        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    base = sums.select(*group, "block", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("base_turns"))
     inside = Window.partitionBy(*group, "block").orderBy(F.asc_nulls_first("turn"), "speaker", "said")
     placed = shaped.withColumn("local", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("number", F.row_number().over(inside))
     start = F.col("base") + F.col("local") - F.col("length")
-    mask = start + F.length("head")
-    return placed.join(base, same).select(
+    mask = start + F.col("head_length")
+    return placed.join(base, [*group, "block"]).select(
         "conv_id", "perspective", (F.col("base_turns") + F.col("number") - 1).alias("position"), "turn", "role", "speaker",
-        F.concat("head", "body", F.lit("\n")).alias("segment"),
+        F.concat(head, body, F.lit("\n")).alias("segment"),
         start.alias("char_start"), (F.col("base") + F.col("local")).alias("char_end"),
-        mask.alias("mask_start"), F.when(F.col("trained"), mask + F.length("body")).otherwise(mask).alias("mask_end"), "trained",
+        mask.alias("mask_start"), F.when(F.col("trained"), mask + F.col("body_length")).otherwise(mask).alias("mask_end"), "trained",
     )
 
 
