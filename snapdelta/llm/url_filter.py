@@ -96,7 +96,8 @@ class Tree:
 
 
 def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int, least: int, rate: float) -> Tree:
-    """Newton gain over every cut between distinct values."""
+    """Newton gain over every cut between distinct values; a cut lies halfway, so that values which no
+    labelled URL has (the overall rate of an unknown suffix) go with what they are nearest to."""
     g, h, ridge = gradient.sum(), hessian.sum(), 1.0
     leaf = Tree(value=float(round(rate * g / (h + ridge), 12)))
     if depth == 0 or len(x) < 2 * least:
@@ -110,7 +111,8 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
         score[(v[1:] == v[:-1]) | (at < least) | (len(v) - at < least)] = -1
         if len(score) and score.max() > gain:
             k = int(score.argmax())
-            best, gain = (f, float(v[k])), float(score[k])
+            middle = float((v[k] + v[k + 1]) / 2)
+            best, gain = (f, middle if middle < v[k + 1] else float(v[k])), float(score[k])
     if best is None:
         return leaf
     low = x[:, best[0]] <= best[1]
