@@ -83,6 +83,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``df`` (distinct in ``key``) with the smallest hashes of ``key``; all if there are fewer.
+
+    With many rows, hashes beyond three times the expected bound are left out before the sort, so
+    that each task sends a few rows instead of ``limit`` of them.
+    """
+    n, order = df.count(), F.xxhash64(key)
+    if n > 4 * limit:
+        df = df.where(order < int(-(2**63) + 2**64 * (3 * limit / n)))
+    return df.orderBy(order, key).limit(limit)
+
+
 def let(value: Column, body) -> Column:
     """Binds ``value`` once, so that lambdas in ``body`` don't evaluate it again for every element."""
     return F.transform(F.array(value), body)[0]

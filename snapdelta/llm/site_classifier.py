@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import bounded_batches, text_of
+from snapdelta.llm.common import bounded_batches, bounded_sample, text_of
 
 FEATURES = ["log_words", "distinct", "common_word", "upper", "digit", "mark", "rare_mark", "pipe", "bang", "word_length", "wide", "line_length", "marked_words", "upper_words", "tail_rate"]
 
@@ -95,7 +95,7 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str
     bounded_batches(df.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
     # repeated labels of a document count once; where they differ the lower one does
-    sample = chosen.groupBy("__id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
+    sample = bounded_sample(chosen.groupBy("__id").agg(F.min("__label").alias("__label")), "__id", max_labelled)
     local = df.sparkSession.createDataFrame(sample.collect(), sample.schema)
 
     @F.pandas_udf("array<double>")

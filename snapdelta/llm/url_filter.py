@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import let
+from snapdelta.llm.common import bounded_sample, let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
@@ -139,7 +139,7 @@ class Model:
 def fit(labelled: DataFrame, max_labelled: int = 8192, trees: int = 30, depth: int = 3, least: int = 10, rate: float = 0.3, smoothing: float = 10.0) -> Model:
     """Fits on at most ``max_labelled`` distinct URLs (those with the smallest hashes) with their rule's verdict."""
     urls = labelled.select("url", "label", "__f", "__suffix", "__suffix2").dropDuplicates(["url"])
-    rows = urls.orderBy(F.xxhash64("url"), "url").limit(max_labelled).collect()
+    rows = bounded_sample(urls, "url", max_labelled).collect()
     y = np.array([r["label"] == "block" for r in rows], float)
     if len(set(y.tolist())) < 2:
         return Model(10.0 if len(y) and y[0] else -10.0, 0.5, {}, {}, [])
