@@ -1,4 +1,4 @@
-"""Command line: compares two snapshots of class rows."""
+"""Command line: compares two snapshots, given as packages or as class rows."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--obfuscated", action="store_true", help="names are obfuscated: leave out name statistics")
     p.add_argument("-k", "--distance", type=int, default=3, help="greatest Hamming distance of candidates")
     p.add_argument("-t", "--threshold", type=float, help="least score of a best match")
-    p.add_argument("--format", default="parquet")
+    p.add_argument("--format", help="dex, parquet, orc or json; without it, dex for .apk, .jar, .zip and .dex, else parquet")
     p.add_argument("--output", default="outputs")
     p.add_argument("--html", action="store_true", help="also write HTML pages (to a local folder)")
     return p

@@ -1,4 +1,4 @@
-"""Snapshots from nested class files or from flat tables, and exclusion lists."""
+"""Snapshots from packages, nested class files or flat tables, and exclusion lists."""
 
 from __future__ import annotations
 
@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.schema import CLASS, FIELDS, METHODS
+from snapdelta.sources.dex import SUFFIXES, read_packages
 
 
-def read_classes(spark: SparkSession, path: str, snapshot: str, fmt: str = "parquet") -> DataFrame:
-    """Class rows of one snapshot (Parquet, ORC or JSON); a snapshot column in the files is overridden."""
+def read_classes(spark: SparkSession, path: str, snapshot: str, fmt: str | None = None) -> DataFrame:
+    """Class rows of one snapshot (dex, Parquet, ORC or JSON); a snapshot column in the files is overridden.
+
+    Without a format, a path that ends like a package's is one, and others are Parquet.
+    """
+    fmt = fmt or ("dex" if path.lower().endswith(SUFFIXES) else "parquet")
+    if fmt == "dex":
+        return read_packages(spark, path, snapshot)
     return spark.read.schema(CLASS).format(fmt).load(path).withColumn("snapshot", F.lit(snapshot))
 
 
-def read_snapshots(spark: SparkSession, a: str, b: str, fmt: str = "parquet") -> DataFrame:
+def read_snapshots(spark: SparkSession, a: str, b: str, fmt: str | None = None) -> DataFrame:
     return read_classes(spark, a, "a", fmt).unionByName(read_classes(spark, b, "b", fmt))
 
 
