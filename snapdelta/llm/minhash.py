@@ -2,8 +2,9 @@
 
 A word's 64-bit hash is looked up once, a shingle's hash is a polynomial of its words' hashes, and
 each permutation is a multiply-add-shift hash of that; all are evaluated for a chunk of shingles at
-a time. The fingerprint keeps 16 bits of each permutation's minimum. ``near_pairs`` joins signature
-bands in Spark and verifies the exact Jaccard similarity of what meets.
+a time. The fingerprint keeps 16 bits of each permutation's minimum. ``near_pairs`` deals signature
+bands out in Spark, holds the fingerprints that meet in a band against each other, and verifies the
+exact Jaccard similarity of what is left.
 
 Words are lower-cased in A-Z and end at ASCII white space. Fewer words than a shingle takes are one
 shingle; a text without words has a fingerprint of its own (all bits set), so two of them are alike.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.common import bounded_batches, text_of
+from snapdelta.llm.common import bounded_batches, text_of, written
 
 WIDTH, PERMUTATIONS, BANDS = 5, 64, 16
 _CHUNK = 1024
@@ -105,11 +106,85 @@ def _shingle_set(text: Column) -> Column:
     return run(text)
 
 
-def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _meetings(least: int, bands: int = BANDS):
+    """Pairs of a band's lists whose fingerprints agree in ``least`` places or more.
+
+    Lists come sorted by (bucket, low, high, band) and may go on over batch ends. A pair is given in the
+    first band that it shares, and of a cut list by the task of its two blocks, so no pair comes twice.
+    """
+    keys = ["bucket", "low", "high", "band"]
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        order = rows.groupby(keys, sort=False).ngroup().to_numpy()
+        left, right = [], []
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(order)) + 1):
+            if len(part) < 2:
+                continue
+            sigs = np.frombuffer(b"".join(rows["sig"].iloc[part]), ">u2").reshape(len(part), -1)
+            ids, block = rows["id"].iloc[part].to_numpy(), rows["part"].iloc[part].to_numpy()
+            band, across = int(rows["band"].iloc[part[0]]), rows["low"].iloc[part[0]] != rows["high"].iloc[part[0]]
+            for i in range(len(part) - 1):
+                same = sigs[i + 1 :] == sigs[i]
+                hit = same.sum(axis=1) >= least
+                if across:
+                    hit &= block[i + 1 :] != block[i]
+                if not hit.any():
+                    continue
+                at = np.flatnonzero(hit)
+                whole = same[at].reshape(len(at), bands, -1).all(axis=2)
+                at = at[whole.argmax(axis=1) == band] + i + 1
+                left.append(np.minimum(ids[at], ids[i]))
+                right.append(np.maximum(ids[at], ids[i]))
+        none = rows["id"].to_numpy()[:0]
+        return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
+            held = rows[last].reset_index(drop=True)
+            if not last.all():
+                yield pairs(rows[~last].reset_index(drop=True))
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def meetings(signed: DataFrame, threshold: float, margin: float = 0.25, block: int = 4096) -> DataFrame:
+    """(a, b): rows of (id, sig) that share a band and whose fingerprints are ``threshold - margin`` alike or more.
+
+    The margin is five standard deviations of the estimate, so it costs far less than the bands do.
+    A list of more than ``block`` entries is cut into blocks that are held against each other two at
+    a time in tasks of their own; whatever is not alike enough never leaves its task.
+    """
+    step = 2 * PERMUTATIONS // BANDS
+    band = F.posexplode(F.array(*(F.substring("sig", 1 + step * k, step) for k in range(BANDS)))).alias("band", "key")
+    banded = signed.select("id", "sig", band).select("id", "sig", "band", F.xxhash64("band", "key").alias("bucket"))
+    lists = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    cut = lists.select("bucket", F.when(F.col("n") > block, F.ceil(F.col("n") / (block // 2))).otherwise(1).cast("int").alias("parts"))
+    dealt = (
+        banded.join(cut, "bucket")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "sig", "band", "bucket", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        .repartition("bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high", "band")
+    )
+    kind = signed.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return dealt.mapInPandas(_meetings(int(np.ceil((threshold - margin) * PERMUTATIONS))), schema)
+
+
+def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(a, b, jaccard) between classes of equal word sequences, and (id, class_id) membership.
 
     A class is named by its smallest id, so copies never become pairs; of different texts every
-    pair whose bands meet and whose exact Jaccard similarity reaches ``threshold`` is kept. Rows
+    pair that ``meetings`` gives and whose exact Jaccard similarity reaches ``threshold`` is kept. Ids
+are taken to tell texts apart: of different texts with one id that names a class, one is looked at. Rows
     with a null id belong to their class but never name one; a class of null ids only has no pairs.
     """
     bounded_batches(df.sparkSession)
@@ -118,15 +193,12 @@ def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     rows = df.select(F.col(id_col).alias("__id"), F.sha2(plain, 256).alias("__digest"), F.col(text).alias("__text"))
     classes = rows.groupBy("__digest").agg(F.min("__id").alias("class_id"))
     members = rows.select("__id", "__digest").join(classes, "__digest").select(F.col("__id").alias(id_col), "class_id")
-    first = rows.join(classes, ["__digest"]).where(F.col("__id") == F.col("class_id")).dropDuplicates(["class_id"])
-    signed = with_signature(first, "__text", "sig").select("class_id", "sig", _shingle_set(text_of("__text")).alias("set"))
-    step = 2 * PERMUTATIONS // BANDS
-    band = F.posexplode(F.array(*(F.substring("sig", 1 + step * k, step) for k in range(BANDS)))).alias("band", "key")
-    banded = signed.select("class_id", band)
-    left, right = banded.select(F.col("class_id").alias("a"), "band", "key"), banded.select(F.col("class_id").alias("b"), "band", "key")
-    met = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    sets = signed.select("class_id", "set")
-    both = met.join(sets.select(F.col("class_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("set").alias("y")), "b")
+    # texts are dealt by their id as well, so a large group of copies isn't dealt to one task
+    named = classes.where("class_id is not null").select(F.col("class_id").alias("__id"), "__digest")
+    first = rows.join(named, ["__id", "__digest"], "left_semi").dropDuplicates(["__id"])
+    signed = written(with_signature(first, "__text", "sig").select(F.col("__id").alias("id"), "sig", _shingle_set(text_of("__text")).alias("set")), "minhash-signed")
+    met, sets = meetings(signed.select("id", "sig"), threshold, block=block), signed.select("id", "set")
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     union = F.size(F.array_union("x", "y"))
     jaccard = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / union)
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold), members

@@ -60,19 +60,25 @@ def test_shingles():
     assert len(M.shingles(hashes("a b"))) == 1 and len(np.unique(M.shingles(hashes("x " * 20)))) == 1
 
 
-def test_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [4, 4096])
+def test_pairs_equal_brute_force(spark, block):
+    """With a group of near texts whose bands' lists are cut into blocks, or not."""
     texts = {}
     for k in range(12):
         base = prose(200, k).split()
         for j, cut in enumerate((0, 4, 10, 40)):
             texts[k * 10 + j] = " ".join(base[cut:])
+    crowd = prose(150, 77)
+    texts |= {300 + k: f"{crowd} tail{k}" for k in range(25)}
     texts |= {200: texts[0].upper(), 201: texts[0] + " ", 202: "", 203: None}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(None, texts[0], "x"), (0, texts[0], "y")], "doc_id long, text string, sig string")
-    pairs, members = M.near_pairs(df)
+    pairs, members = M.near_pairs(df, block=block)
     hashes = M.WordHashes()
     sets = {i: set(M.shingles(hashes(t or "")).tolist()) for i, t in texts.items() if i not in (200, 201, 203)}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] | sets[b]}
-    got = {(r.a, r.b): r.jaccard for r in pairs.collect()}
+    rows = pairs.collect()
+    got = {(r.a, r.b): r.jaccard for r in rows}
+    assert len(got) == len(rows) and sum(a >= 300 for a, _ in got) == 25 * 24 // 2
     assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.8}
     classes = {r.doc_id: r.class_id for r in members.collect()}
     assert classes[200] == classes[201] == classes[None] == 0 and classes[203] == 202 and members.count() == len(texts) + 2
