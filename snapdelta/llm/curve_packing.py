@@ -114,6 +114,9 @@ class Tokens:
             made = json.load(f)
         self.added = [t["content"] for t in made["added_tokens"]]
         self.separable = all(made[k] == v for k, v in SEPARABLE.items()) and made["post_processor"] is None
+        vocabulary, suffix = self.tool.get_vocab(), made["model"].get("end_of_word_suffix") or "\0"
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.remember = remember
 
@@ -138,13 +141,27 @@ class Tokens:
             bare = new.difference(joined)
             bare.update(s[:-1] for s in joined if s[:-1] not in known)
             bare.update(s[-1:] for s in joined if s[-1:] not in known)
-            fresh = list(bare)
-            for s, e in zip(fresh, self.tool.encode_batch_fast([s.decode("latin-1") for s in fresh], add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, "<u4").tobytes()
+            self._learn(bare)
             for s in joined:
                 known[s] = known[s[:-1]] + known[s[-1:]]
         return b"".join(map(known.__getitem__, stretches))
 
+    def _learn(self, stretches: set[bytes], at_once: int = 4096) -> None:
+        """Words of letters are tokenised as one text and told apart by the ids that end a word; other stretches one by one."""
+        letters = [s for s in stretches if s.decode("latin-1").isalpha()]
+        others = list(stretches.difference(letters))
+        for start in range(0, len(letters), at_once):
+            words = letters[start : start + at_once]
+            ids = np.array(self.tool.encode_batch_fast([b" ".join(words).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(words):
+                others += words
+                continue
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
+        for s, e in zip(others, self.tool.encode_batch_fast([s.decode("latin-1") for s in others], add_special_tokens=False), strict=True):
+            self.known[s] = np.array(e.ids, "<u4").tobytes()
+
 
 @functools.lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
