@@ -2,7 +2,7 @@
 
 Lines that speak of licensing are candidate blocks, found by a native pattern. A block is compressed
 alone and again with each template as zstandard raw dictionary; templates are ranked by how much of
-the block's compressed size they save. The best ones are then confirmed by their exact wording: the
+the block's compressed size they save. All that save something are then confirmed by their exact wording: the
 template's words must stand in the block in order, with at most ``max_changes`` changes, none of them in the
 words that tell one license from another.
 
@@ -76,8 +76,8 @@ class Match:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, level: int = 3, best: int = 4, max_changes: float = 0.1):
-        self.best, self.max_changes = best, max_changes
+    def __init__(self, templates=TEMPLATES, level: int = 3, max_changes: float = 0.1):
+        self.max_changes = max_changes
         make = lambda d=None: zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.alone = make()
         self.templates = [(name, words(text), make(zstandard.ZstdCompressionDict(plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
@@ -102,7 +102,7 @@ class Scanner:
 
     def scan(self, block: str) -> Match | None:
         found, split = [], words(block)
-        for saved, k in self.ranked(block)[: self.best]:
+        for saved, k in self.ranked(block):
             name, template, _ = self.templates[k]
             changes, telling = self.differences(template, split)
             if saved > 0 and not telling and changes <= self.max_changes * len(template):

@@ -25,6 +25,16 @@ def test_small_changes_count():
     assert L.scanner().scan(" ".join(mit.split()[::2])) is None
 
 
+def test_notices_beside_other_legal_phrases():
+    """The verbatim notice isn't among the four templates that save most."""
+    phrases = [t for _, t in L.TEMPLATES if len(t) > 70]
+    for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
+        for k in range(len(phrases)):
+            beside = " ".join(" ".join(phrases[(k + i) % len(phrases)].split()[3:9]) for i in range(5))
+            found = L.scanner().scan(f"{beside} {notice}")
+            assert found and found.license == name, (beside, found)
+
+
 def test_scan(spark):
     own = [
         (1, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2)), (2, prose(100, 3)), (3, None), (4, ""),
