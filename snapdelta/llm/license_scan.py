@@ -1,23 +1,24 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing are candidate blocks, found by a native pattern. A block is compressed
-alone and again with each template as zstandard raw dictionary; templates are ranked by how much of
-the block's compressed size they save. All that save something are then confirmed by their exact wording: the
-template's words must stand in the block in order, with at most ``max_changes`` changes, none of them in the
-words that tell one license from another.
-
-Defined cases: null text is empty, and a document without candidate blocks has no license. Long lines
-are cut after sentences, so a block is one statement; a sentence of any length is looked at whole.
-Of templates that save as much as each other the one with fewer differences, then the first by name, wins.
+Lines that speak of licensing are candidate blocks, found by a native pattern. A template is confirmed
+by its exact wording: its words must stand in a stretch of the block in order, with at most
+``max_changes`` changes, none of them in the words that tell one license from another. The sentences
+and lines around the stretch are compressed alone and again with the template as zstandard raw
+dictionary; of templates whose stretches overlap the one that saves most bytes counts.
+
+Defined cases: null text is empty, and a document without candidate blocks has no license. Every
+notice in a stretch of its own counts, whatever the length of its line. Of templates that save as much
+as each other the one with fewer differences, then the first by name, wins.
 """
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
+import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,7 @@ TEMPLATES = (
 TELLING = frozenset("affero apache boost eclipse general lesser mit mozilla noncommercial nc nd sa by isc bsd cc cc0 attribution sharealike not except unencumbered".split())
 CUE = r"(?i)licen[cs]|copyright|redistribut|permission (?:to|is)|public domain|unencumbered|creative commons"
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_SENTENCE = re.compile(r"[.!?:][ \t\n\x0b\f\r]+")
 
 
 def plain(text: str) -> bytes:
@@ -75,6 +77,14 @@ class Match:
     changes: int
 
 
+#: Above any number of changes, for those that aren't allowed; costs and starts share a number, costs in its upper half.
+_NEVER, _COST = 1000, 1 << 32
+
+
+def telling(word: str) -> bool:
+    return word in TELLING or any(map(str.isdigit, word))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, level: int = 3, max_changes: float = 0.1):
         self.max_changes = max_changes
@@ -82,35 +92,76 @@ class Scanner:
         self.alone = make()
         self.templates = [(name, words(text), make(zstandard.ZstdCompressionDict(plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
         self.empty = len(self.alone.compress(b""))
+        self.longest = max(len(t) + self.allowed(t) for _, t, _ in self.templates)
+
+    def allowed(self, template: list[str]) -> int:
+        return int(self.max_changes * len(template))
 
-    def differences(self, template: list[str], block: list[str]) -> tuple[int, bool]:
-        """Fewest word changes that make the template out of a stretch of the block, and whether a telling word is among them.
+    def stretches(self, template: list[str], block: list[str]) -> list[tuple[int, int, int]]:
+        """(changes, start, end) of the stretches of ``block`` that at most the allowed changes make into the template.
 
-        Words before the first and after the last matching word are outside the stretch.
+        A word is replaced, left out or put in at the price of a change; telling words never are. Of
+        stretches that overlap the one with fewest changes counts.
         """
-        parts = [x for x in difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
-        inner = parts[1 if parts and parts[0][0] == "insert" else 0 : -1 if parts and parts[-1][0] == "insert" else None]
-        changed = [w for tag, a, b, c, d in inner if tag != "equal" for w in template[a:b] + block[c:d]]
-        count = sum(max(b - a, d - c) for tag, a, b, c, d in inner if tag != "equal")
-        return count, any(w in TELLING or any(map(str.isdigit, w)) for w in changed)
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share saved, template's number), best first."""
-        data = plain(block)
-        whole = max(1, len(self.alone.compress(data)) - self.empty)
-        return sorted((((whole - (len(tool.compress(data)) - self.empty)) / whole, k) for k, (_, _, tool) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
+        have, least = set(block), self.allowed(template)
+        missing = [w for w in template if w not in have]
+        if len(missing) > least or any(map(telling, missing)):
+            return []
+        n = len(block)
+        price = np.array([_NEVER if telling(w) else 1 for w in block], np.int64)
+        put_in = np.concatenate([[0], np.cumsum(price)]) * _COST
+        at = np.array(block, object)
+        row = n - np.arange(n + 1, dtype=np.int64)  # ends with the same costs keep the latest start
+        for w in template:
+            own = _NEVER if telling(w) else 1
+            now = row + own * _COST
+            now[1:] = np.minimum(now[1:], row[:-1] + np.where(at == w, 0, np.maximum(price, own)) * _COST)
+            row = put_in + np.minimum.accumulate(now - put_in)
+        found = sorted((int(row[e]) // _COST, n - int(row[e]) % _COST, int(e)) for e in np.flatnonzero(row < (least + 1) * _COST))
+        return apart(found, lambda x: x[1:])
+
+    def saved(self, data: bytes, k: int) -> tuple[int, float]:
+        """Bytes, and share of the compressed size, that a template saves."""
+        whole = len(self.alone.compress(data)) - self.empty
+        less = whole - (len(self.templates[k][2].compress(data)) - self.empty)
+        return less, less / max(1, whole)
+
+    def matches(self, text: str) -> list[Match]:
+        """All notices of ``text``, each in a stretch of its own.
+
+        What a template saves is told by the sentences and lines that its stretch lies in, and says
+        which of overlapping stretches counts.
+        """
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        split, ends = [text[a:b].lower() for a, b in spans], cuts(text)
+        found = []
+        for k, (name, template, _) in enumerate(self.templates):
+            for changes, start, end in self.stretches(template, split):
+                first, last = (int(np.searchsorted(ends, spans[x][0], side="right")) for x in (start, end - 1))
+                less, share = self.saved(plain(text[ends[first - 1] : ends[last]]), k)
+                found.append((-less, changes, name, start, end, share))
+        return [Match(name, share, changes) for _, changes, name, _, _, share in apart(sorted(found), lambda x: x[3:5])]
 
     def scan(self, block: str) -> Match | None:
-        found, split = [], words(block)
-        for saved, k in self.ranked(block):
-            name, template, _ = self.templates[k]
-            changes, telling = self.differences(template, split)
-            if saved > 0 and not telling and changes <= self.max_changes * len(template):
-                found.append((-round(saved, 6), changes, name))
-        if not found:
-            return None
-        saved, changes, name = min(found)
-        return Match(name, -saved, changes)
+        """The notice that saves most."""
+        return max(self.matches(block), key=lambda m: m.saved, default=None)
+
+
+def apart(found: list[tuple], span) -> list[tuple]:
+    """Those of ``found``, best first, that don't overlap a better one."""
+    out, taken = [], bytearray(max((span(x)[1] for x in found), default=0))
+    for x in found:
+        a, b = span(x)
+        if not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            out.append(x)
+    return out
+
+
+def cuts(text: str) -> np.ndarray:
+    """Where the lines and sentences of ``text`` begin, and its end."""
+    sentences = (m.end() for m in _SENTENCE.finditer(text) if m.end() < len(text) and unicodedata.category(text[m.end()]) == "Lu")
+    return np.array(sorted({0, len(text), *sentences, *(m.end() for m in re.finditer("\n", text))}))
 
 
 @functools.lru_cache(maxsize=1)
@@ -119,10 +170,8 @@ def scanner() -> Scanner:
 
 
 def blocks(text: Column) -> Column:
-    """Candidate blocks: lines with a cue; lines over 300 characters are cut after sentences first."""
-    lines = F.split(text, r"\n")
-    cut = F.transform(F.filter(lines, lambda x: x.rlike(CUE)), lambda x: F.when(F.length(x) > 300, F.filter(F.split(x, r"(?<=[.!?:])\s+(?=\p{Lu})"), lambda y: y.rlike(CUE))).otherwise(F.array(x)))
-    return F.flatten(cut)
+    """Candidate blocks: lines with a cue."""
+    return F.filter(F.split(text, r"\n"), lambda x: x.rlike(CUE))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,9 +190,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
             hits = []
             for b in found:
                 if b not in seen:
-                    seen[b] = tool.scan(b)
-                hits.append(seen[b])
-            hits = [h for h in hits if h]
+                    seen[b] = tool.matches(b)
+                hits += seen[b]
             out.append((len(hits), ",".join(sorted({h.license for h in hits})), max((h.saved for h in hits), default=0.0), sum(h.changes for h in hits)))
         return pd.DataFrame(out, columns=["n_confirmed", "licenses", "best_saved", "changes"])
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from snapdelta.llm import license_scan as L
@@ -35,6 +37,32 @@ def test_notices_beside_other_legal_phrases():
             assert found and found.license == name, (beside, found)
 
 
+@pytest.mark.parametrize("length", [0, 301])
+def test_every_notice_of_a_line_counts(spark, length):
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0.".ljust(length, "x")
+    got = L.scan(spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_confirmed, r.licenses) for r in got] == [(2, "Apache-2.0,MIT"), (4, "Apache-2.0,MIT")]
+
+
+def test_stretches_equal_brute_force():
+    """Costs by a plain table; telling words never change."""
+    rng, tool = random.Random(5), L.scanner()
+    for _ in range(60):
+        template = rng.choices("a b c d e f g h mit 2".split(), k=rng.choice([10, 20]))
+        block = [w for w in template if rng.random() > 0.05]
+        block = rng.choices("a b c x mit".split(), k=5) + [rng.choice("abxy") if rng.random() < 0.05 else w for w in block] + rng.choices("a b c x".split(), k=5)
+        best, price = None, lambda w: 1000 if L.telling(w) else 1
+        row = [0] * (len(block) + 1)
+        for t in template:
+            now = [row[0] + price(t)]
+            for j, w in enumerate(block):
+                now.append(min(row[j] + (0 if t == w else max(price(t), price(w))), row[j + 1] + price(t), now[j] + price(w)))
+            row = now
+        best = min(row)
+        found = tool.stretches(template, block)
+        assert (min(found)[0] == best) if best <= len(template) // 10 else not found
+
+
 def test_scan(spark):
     own = [
         (1, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2)), (2, prose(100, 3)), (3, None), (4, ""),
