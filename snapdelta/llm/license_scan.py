@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing are candidate blocks, found by a native pattern. A template is confirmed
-by its exact wording: its words must stand in a stretch of the block in order, with at most
+Cues that speak of licensing are found by a native pattern; a candidate block has so many words on both
+sides of a cue as the longest template, across lines. A template is confirmed by its exact wording: its words must stand in a stretch of the block in order, with at most
 ``max_changes`` changes, none of them in the words that tell one license from another. The sentences
 and lines around the stretch are compressed alone and again with the template as zstandard raw
 dictionary; of templates whose stretches overlap the one that saves most bytes counts.
@@ -13,6 +13,7 @@ as each other the one with fewer differences, then the first by name, wins.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import unicodedata
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm.common import bounded_batches, text_of
@@ -56,8 +57,10 @@ TEMPLATES = (
 )
 #: Words that tell licenses apart, besides all words with a digit or a capital inside.
 TELLING = frozenset("affero apache boost eclipse general lesser mit mozilla noncommercial nc nd sa by isc bsd cc cc0 attribution sharealike not except unencumbered".split())
-CUE = r"(?i)licen[cs]|copyright|redistribut|permission (?:to|is)|public domain|unencumbered|creative commons"
+#: Words of a cue may stand in different lines.
+CUE = r"(?i)licen[cs]|copyright|redistribut|permission[^a-z0-9]+(?:to|is)|public[^a-z0-9]+domain|unencumbered|creative[^a-z0-9]+commons"
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_CUE = re.compile(CUE, re.ASCII)
 _SENTENCE = re.compile(r"[.!?:][ \t\n\x0b\f\r]+")
 
 
@@ -126,25 +129,42 @@ class Scanner:
         less = whole - (len(self.templates[k][2].compress(data)) - self.empty)
         return less, less / max(1, whole)
 
-    def matches(self, text: str) -> list[Match]:
-        """All notices of ``text``, each in a stretch of its own.
+    def blocks(self, text: str, spans: list[tuple[int, int]], cues: list[int]) -> list[tuple[int, int]]:
+        """(first, end) of the runs of words that are near enough to a cue for the longest template, across lines."""
+        out: list[tuple[int, int]] = []
+        for at in cues:
+            word = bisect.bisect_right(spans, (at, len(text))) - 1  # the one that the cue begins in
+            first, end = max(0, word - self.longest), min(len(spans), word + self.longest + 1)
+            if out and first <= out[-1][1]:
+                first = out.pop()[0]
+            out.append((first, end))
+        return out
+
+    def matches(self, text: str) -> tuple[int, list[Match]]:
+        """(sentences and lines with a cue, all notices of ``text``, each in a stretch of its own).
 
         What a template saves is told by the sentences and lines that its stretch lies in, and says
         which of overlapping stretches counts.
         """
+        cues = [m.start() for m in _CUE.finditer(text)]
+        if not cues:
+            return 0, []
         spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         split, ends = [text[a:b].lower() for a, b in spans], cuts(text)
+        place = lambda at: int(np.searchsorted(ends, at, side="right"))
         found = []
-        for k, (name, template, _) in enumerate(self.templates):
-            for changes, start, end in self.stretches(template, split):
-                first, last = (int(np.searchsorted(ends, spans[x][0], side="right")) for x in (start, end - 1))
-                less, share = self.saved(plain(text[ends[first - 1] : ends[last]]), k)
-                found.append((-less, changes, name, start, end, share))
-        return [Match(name, share, changes) for _, changes, name, _, _, share in apart(sorted(found), lambda x: x[3:5])]
+        for begin, stop in self.blocks(text, spans, cues):
+            for k, (name, template, _) in enumerate(self.templates):
+                for changes, start, end in self.stretches(template, split[begin:stop]):
+                    start, end = start + begin, end + begin
+                    block = text[ends[place(spans[start][0]) - 1] : ends[place(spans[end - 1][0])]]
+                    less, share = self.saved(plain(block), k)
+                    found.append((-less, changes, name, start, end, share))
+        return len({place(at) for at in cues}), [Match(name, share, changes) for _, changes, name, _, _, share in apart(sorted(found), lambda x: x[3:5])]
 
     def scan(self, block: str) -> Match | None:
         """The notice that saves most."""
-        return max(self.matches(block), key=lambda m: m.saved, default=None)
+        return max(self.matches(block)[1], key=lambda m: m.saved, default=None)
 
 
 def apart(found: list[tuple], span) -> list[tuple]:
@@ -169,32 +189,22 @@ def scanner() -> Scanner:
     return Scanner()
 
 
-def blocks(text: Column) -> Column:
-    """Candidate blocks: lines with a cue."""
-    return F.filter(F.split(text, r"\n"), lambda x: x.rlike(CUE))
-
-
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_blocks, n_confirmed, licenses, best_saved, changes), one row per row of ``df``.
 
-    ``licenses`` are the confirmed ones, sorted and joined by commas (empty: none); ``changes`` is the
-    sum of word changes over confirmed blocks. The pattern runs in the JVM, so that Python sees the
-    candidate blocks only.
+    ``n_blocks`` are the sentences and lines with a cue, ``licenses`` the confirmed ones, sorted and joined
+    by commas (empty: none); ``changes`` is the sum of word changes over confirmed notices. The pattern runs
+    in the JVM, so that Python sees the texts with a cue only.
     """
     bounded_batches(df.sparkSession)
 
-    @F.pandas_udf("n_confirmed long, licenses string, best_saved double, changes long")
+    @F.pandas_udf("n_blocks long, n_confirmed long, licenses string, best_saved double, changes long")
     def run(column: pd.Series) -> pd.DataFrame:
-        tool, out, seen = scanner(), [], {}
+        tool, out = scanner(), []
         for found in column:
-            hits = []
-            for b in found:
-                if b not in seen:
-                    seen[b] = tool.matches(b)
-                hits += seen[b]
-            out.append((len(hits), ",".join(sorted({h.license for h in hits})), max((h.saved for h in hits), default=0.0), sum(h.changes for h in hits)))
-        return pd.DataFrame(out, columns=["n_confirmed", "licenses", "best_saved", "changes"])
+            n, hits = tool.matches(found or "")
+            out.append((n, len(hits), ",".join(sorted({h.license for h in hits})), max((h.saved for h in hits), default=0.0), sum(h.changes for h in hits)))
+        return pd.DataFrame(out, columns=["n_blocks", "n_confirmed", "licenses", "best_saved", "changes"])
 
     body = text_of(text)
-    found = F.when(body.rlike(CUE), blocks(body)).otherwise(F.array().cast("array<string>"))
-    return df.select(F.col(id_col), found.alias("__b")).select(id_col, F.size("__b").cast("long").alias("n_blocks"), run("__b").alias("__r")).select(id_col, "n_blocks", "__r.*")
+    return df.select(F.col(id_col), F.when(body.rlike(CUE), body).alias("__b")).select(id_col, run("__b").alias("__r")).select(id_col, "__r.*")

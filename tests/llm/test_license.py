@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -63,6 +64,17 @@ def test_stretches_equal_brute_force():
         assert (min(found)[0] == best) if best <= len(template) // 10 else not found
 
 
+def test_wrapped_notices(spark):
+    rows = []
+    for name, text in L.TEMPLATES:
+        for width in (40, 48, 60, 72, 80):
+            for prefix in ("", "# ", " * "):
+                lines = [prefix + x for x in textwrap.wrap(f"Some words go here before it. {text}", width)]
+                rows.append((len(rows), "\n".join([prose(300, 1), *lines, prose(300, 2)]), name))
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string, want string").select("doc_id", "text")).collect()
+    assert {r.doc_id: (r.n_confirmed, r.licenses, r.changes) for r in got} == {i: (1, name, 0) for i, _, name in rows}
+
+
 def test_scan(spark):
     own = [
         (1, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2)), (2, prose(100, 3)), (3, None), (4, ""),
