@@ -28,7 +28,6 @@ class Limits:
     min_words: int = 10  # base rule
     max_repeat_percent: int = 20  # base rule
     common_words: int = 16  # bins of the word histogram, besides the rest
-    short_word: int = 4  # common words are looked for among words of at most so many characters
     guard_chars: int = 200
     guard_words: int = 60
     max_class_distance: float = 0.32
@@ -90,12 +89,12 @@ def references(df: DataFrame, limits: Limits = Limits(), text: str = "text", lan
     """(language, classes, common, common_shares): what all documents of a language add up to.
 
     Two scans with map-side sums, one of character classes and one of words (one aggregation of both
-    makes a method too long for the JVM to compile). Words longer than ``short_word`` stay in their task.
+    makes a method too long for the JVM to compile).
     """
     language, body = F.coalesce(F.col(lang), F.lit("")).alias("language"), text_of(text).alias("__body")
     counts = _with_counts(df.select(language, body)).select("language", F.array(*_class_counts()).alias("c"), F.col("__n").alias("n"))
     totals = counts.groupBy("language").agg(F.array(*(F.sum(F.get("c", F.lit(k))) for k in range(len(CLASSES)))).alias("classes"), F.sum("n").alias("n"))
-    words = df.select(language, F.explode(words_of(text_of(text))).alias("word")).where(F.length("word") <= limits.short_word)
+    words = df.select(language, F.explode(words_of(text_of(text))).alias("word"))
     sums = words.groupBy("language", "word").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("hits"), "word"))
     top = sums.withColumn("rank", rank).where(F.col("rank") <= limits.common_words)

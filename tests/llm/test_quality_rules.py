@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from snapdelta.llm import quality_rules as Q
+from tests.llm.conftest import prose
 
 
 def plain(text):
@@ -27,6 +28,23 @@ def test_counts_equal_brute_force(spark, docs):
     assert Q.keep_good(docs).columns == docs.columns
 
 
+def test_common_words_are_those_of_all_lengths(spark, docs):
+    rows = [(i, f"boilerplate {prose(40, i)} boilerplate", "en") for i in range(5)] + [(9, " ".join(f"longword{k % 5}" for k in range(80)), "zh"), (10, " ".join(f"longword{k}" for k in range(80)), "zh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for texts in (df, docs):
+        sums = {}
+        for r in texts.collect():
+            sums.setdefault(r.lang or "", Counter()).update(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        got = {r.language: r for r in Q.references(texts).collect()}
+        assert set(got) == set(sums)
+        for language, n in sums.items():
+            want = sorted(n.items(), key=lambda x: (-x[1], x[0].encode()))[:16]
+            assert got[language].common == [w for w, _ in want]
+            assert got[language].common_shares == [h / sum(n.values()) for _, h in want]
+    distances = {r.doc_id: r.word_distance for r in Q.judge(df).collect()}
+    assert distances[9] > 0 and distances[10] > 0
+
+
 def test_repeats(spark):
     a, b = "a b c d e f", "u v w x y z"
     texts = [f"{a} {b} {a} {b}", " ".join(["x"] * 9), f"{a} q {a} r", "a b c d e a b c d e", f"{a}  {b}", "a b c d e", "1 2 3 4 5 6 7 8 9 1 2 3 4 5"]
