@@ -165,11 +165,16 @@ def links(nodes: DataFrame, block: int = 4096) -> DataFrame:
     return dealt.mapInPandas(_forest, "u long, v long").distinct()
 
 
-def components(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component): for each distinct fingerprint the smallest id that it reaches by links."""
+def _rooted(fingerprinted: DataFrame, id_col: str) -> DataFrame:
+    """(fp, low_id, root): each distinct fingerprint with its smallest id and what names its group."""
     nodes = written(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("low_id")), "simhash-nodes")
     roots = connected_components(links(nodes))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
+
+
+def components(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(fp, component): for each distinct fingerprint the smallest id that it reaches by links."""
+    rooted = _rooted(fingerprinted, id_col)
     smallest = rooted.groupBy("root").agg(F.min("low_id").alias("component"))
     return rooted.join(smallest, "root").select("fp", "component")
 
@@ -182,22 +187,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without those that have a near-duplicate with a smaller id.
+    """One row of each group of near-duplicates: the one with the smallest id, of those the first fingerprint.
 
-    Of rows with the same id one stays; of a group whose ids are all null one row stays too.
-    Only narrow rows (id, fingerprint) are compared; the whole rows are dealt once, by their id.
+    A row goes only if a row of its own group stays, so unrelated texts with the same id all stay, and
+    of a group whose ids are all null one row stays too. Only narrow rows (id, fingerprint) are
+    compared; whole rows are dealt by their id. Fingerprints are computed again where an id
+    has several of them or is null.
     """
-    found = near_duplicates(df, id_col, text).withColumnRenamed(id_col, "__id")
-    numbered = found.where(F.col("__id").eqNullSafe(F.col("component_id")))
-    # of a group without ids the fingerprint that comes first stays
-    first = numbered.groupBy("__id", F.when(F.col("__id").isNull(), F.col("fingerprint")).alias("__print")).agg(F.count("*").alias("__n"))
-    survivors = written(first.select("__id", "__print"), "simhash-survivors")
-    with_id = df.join(survivors.where("__id is not null").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    kept = with_id.dropDuplicates([id_col])
-    lost = with_fingerprint(df.where(F.col(id_col).isNull()), text, "__fp")
-    chosen = survivors.where("__id is null").select("__print")
-    orphans = lost.join(chosen, F.lpad(F.lower(F.hex("__fp")), 16, "0") == F.col("__print"), "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return kept.unionByName(orphans)
-
-
-
+    prints = written(with_fingerprint(df.select(id_col, text), text, "fp").select(F.col(id_col).alias("__id"), "fp"), "simhash-fingerprints")
+    lowest = F.min(F.struct(F.col("low_id").isNull(), "low_id", "fp")).alias("first")
+    chosen = _rooted(prints, "__id").groupBy("root").agg(lowest).select(F.col("first.low_id").alias("__low"), F.col("first.fp").alias("__print"))
+    several = prints.where("__id is not null").groupBy("__id").agg((F.min("fp") != F.max("fp")).alias("__several")).where("__several")
+    survivors = written(chosen.join(several, F.col("__low") == F.col("__id"), "left").select("__low", "__print", F.coalesce("__several", F.col("__low").isNull()).alias("__several")), "simhash-survivors")
+    plain, others = survivors.where("not __several"), survivors.where("__several")
+    kept = df.join(plain, F.col(id_col) == F.col("__low"), "left_semi").dropDuplicates([id_col])
+    unsure = df.where(F.col(id_col).isNull()).unionByName(df.join(others, F.col(id_col) == F.col("__low"), "left_semi"))
+    found = with_fingerprint(unsure, text, "__fp").join(others, (F.col("__fp") == F.col("__print")) & F.col(id_col).eqNullSafe(F.col("__low")), "left_semi")
+    return kept.unionByName(found.dropDuplicates([id_col, "__fp"]).drop("__fp"))

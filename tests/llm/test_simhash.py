@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from snapdelta.llm import simhash_dedup as H
 from snapdelta.llm.components import connected_components
+from tests.llm.conftest import prose
 
 
 def plain_fingerprint(text):
@@ -115,6 +116,25 @@ def test_near_duplicates_on_documents(spark):
     assert H.keep_one_per_group(df.where("doc_id is null")).count() == 2
 
 
+def test_a_row_goes_only_if_one_of_its_group_stays(spark):
+    a, b, c, d = (prose(120, k) for k in (61, 62, 63, 64))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (4, c), (None, d), (None, b)]
+    rows += [(None, prose(120, 65)), (None, prose(120, 65)), (None, prose(120, 66))]
+    kept = [tuple(r) for r in H.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, a), (2, b), (3, c), (3, d), (None, prose(120, 65)), (None, prose(120, 66))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_null_ids_leave_one_a_group(spark):
+    def near(text):
+        others = (text[:k] + "~" + text[k + 1 :] for k in range(1, len(text)))
+        return next(t for t in others if 0 < bin(H.fingerprint(text) ^ H.fingerprint(t)).count("1") <= H.MAX_BITS)
+
+    text = prose(300, 71)
+    df = spark.createDataFrame([(None, text), (None, near(text))], "doc_id long, text string")
+    assert H.keep_one_per_group(df).count() == 1
+
+
 def test_component_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
