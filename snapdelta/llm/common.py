@@ -1,17 +1,26 @@
-"""Helpers that the operators of this subpackage share."""
+"""Helpers that the operators of this subpackage share.
+
+Texts reach Python in Arrow batches, which Spark itself bounds by bytes
+(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster sets another), so the operators
+change no setting of the caller's session. ``written`` has shuffle files removed with its own job
+and puts that setting back.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_root: str | None = None
 
@@ -33,7 +42,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
+    """A fresh path in the shared folder, deleted when the driver ends (if nothing has deleted it before)."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove_quietly, spark, path)
     return path
@@ -54,24 +63,35 @@ def remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Holds a setting of the session for a job that is run inside, and puts the old one back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes ``df`` into the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` into the shared folder and reads it back; its shuffle files go with the job."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path  # for drop_written
     return out
 
 
-def drop_written(df: DataFrame) -> None:
+def drop_written(*tables: DataFrame) -> None:
     """Deletes what ``written`` has written, once no later step reads it."""
-    remove(df.sparkSession, df.written_path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for df in tables:
+        remove(df.sparkSession, df.written_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +103,35 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def rows_of(df: DataFrame, **columns: Column) -> DataFrame:
+    """(row, columns): each row of ``df`` as one struct beside columns made of it, so that no name can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows that ``rows_of`` has packed."""
+    return df.select("row.*")
+
+
+def join_spread(rows: DataFrame, one: DataFrame, on: str, counts: DataFrame, how: str = "inner", most: int = 200_000, bound: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row a key, by shuffles that split hot keys.
+
+    ``counts`` has (key, n), the number of ``rows`` of each key. Keys of more than ``most`` rows are
+    dealt to several tasks by a hash of the row, and their row of ``one`` is repeated for each. The hot
+    keys are broadcast: at most ``bound`` of them, as ``most`` rises with the table where it must.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(most, total // bound)
+    hot = counts.where(F.col("n") > least).select(F.col(on).alias("__hot"), F.ceil(F.col("n") / least).cast("int").alias("__parts"))
+    found = hot.collect() if total > least else []
+    if not found:
+        return rows.join(one, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    salted = rows.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__hot", "__parts")
+    repeated = one.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__hot", "__parts")
+    return salted.join(repeated, [on, "__salt"], how).drop("__salt")
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The ``limit`` rows of ``df`` (distinct in ``key``) with the smallest hashes of ``key``; all if there are fewer.
 
@@ -100,6 +149,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fixed_numbers(name: str, n: int) -> list[int]:
+    """``n`` unsigned 64-bit numbers that depend on ``name`` alone, whatever the library's version."""
+    import xxhash
+
+    return [xxhash.xxh64_intdigest(f"{name} {k}".encode()) for k in range(n)]
+
+
 def quiet_threads() -> None:
     """One thread a worker: the executor's cores are already taken by its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

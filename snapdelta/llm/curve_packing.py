@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.common import bounded_batches, quiet_threads, text_of
+from snapdelta.llm.common import quiet_threads, text_of
 
 DIMENSIONS, BITS, HASHED = 3, 16, 1 << 12
 SPREAD = 0.5  # projections of vectors of shares lie well inside -SPREAD..SPREAD
@@ -182,7 +182,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
     ``with_ids`` adds the piece's ids. ``sequence_id`` is the range's number above 40 bits and the
     sequence's number in its range below.
     """
-    bounded_batches(df.sparkSession)
     rows = df.select(df[id_col].alias("__id"), text_of(text).alias("__text"))
     ranged = rows.withColumn("__key", curve_key(F.col("__text"))).withColumn("__tie", F.xxhash64("__text"))
     ordered = ranged.repartitionByRange("__key", "__id", "__tie").sortWithinPartitions("__key", "__id", "__tie").select("__id", "__text")

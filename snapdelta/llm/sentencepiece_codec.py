@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.common import bounded_batches
-
 _SPACE, _MARK = 0x20, "▁".encode()
 _USER_DEFINED = 4
 
@@ -197,7 +195,6 @@ def transcode(df: DataFrame, model_path: str, text: str = "text", keep: list[str
     in UTF-8 where normalisation drops nothing. Digest outputs are those of ``ids`` and ``decoded``.
     One narrow pass: nothing is shuffled, and only the text and ``keep`` reach Python.
     """
-    bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     if clash := set(keep) & set(emit):
         raise ValueError(f"columns {sorted(clash)} are outputs of transcode; rename them first")
@@ -229,7 +226,6 @@ def transcode(df: DataFrame, model_path: str, text: str = "text", keep: list[str
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the text that ``ids`` decode to; null ids decode to null."""
-    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import bounded_batches, text_of, written
+from snapdelta.llm.common import text_of, written
 from snapdelta.llm.components import connected_components
 
 POSITIONS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
@@ -52,7 +52,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
     """Adds the fingerprint as a signed long. Narrow; only the text reaches Python."""
-    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def run(column: pd.Series) -> pd.Series:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import bounded_batches, bounded_sample, text_of
+from snapdelta.llm.common import bounded_sample, text_of
 
 FEATURES = ["log_words", "distinct", "common_word", "upper", "digit", "mark", "rare_mark", "pipe", "bang", "word_length", "wide", "line_length", "marked_words", "upper_words", "tail_rate"]
 
@@ -92,7 +92,6 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str
     Their labels, at most ``max_labelled`` small rows, are broadcast to the scan of the documents,
     so no text is shuffled; what comes back to the driver is a row of features for each.
     """
-    bounded_batches(df.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
     # repeated labels of a document count once; where they differ the lower one does
     sample = bounded_sample(chosen.groupBy("__id").agg(F.min("__label").alias("__label")), "__id", max_labelled)
@@ -164,7 +163,6 @@ def measure(df: DataFrame, labels: DataFrame, threshold: float = 0.2, max_labell
     shuffling texts between. Up to ``max_sites`` sites are broadcast; more are joined by a shuffle.
     """
     model = fit(df, labels, max_labelled, id_col, text)
-    bounded_batches(df.sparkSession)
     host, path = host_and_path(source, lang)
     scored = df.select(host.alias("host"), path.alias("path"), evidence(model, text).alias("p"))
     sites = site_posteriors(scored).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_rate", "path_rate", "prior")
