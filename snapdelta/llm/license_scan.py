@@ -1,14 +1,19 @@
 """License scans by conditional compression.
 
 Cues that speak of licensing are found by a native pattern; a candidate block has so many words on both
-sides of a cue as the longest template, across lines. A template is confirmed by its exact wording: its words must stand in a stretch of the block in order, with at most
-``max_changes`` changes, none of them in the words that tell one license from another. The sentences
-and lines around the stretch are compressed alone and again with the template as zstandard raw
+sides of a cue as the longest template, across lines. A template is confirmed by its exact wording:
+its words must stand in a stretch of the block in order, with at most ``max_changes`` changes, none of
+them in the words that tell one license from another; every template is looked for. The sentences and lines around the stretch are compressed alone and again with the template as zstandard raw
 dictionary; of templates whose stretches overlap the one that saves most bytes counts.
 
+A stretch that is denied in its sentence ("not released under ...") is no notice; a version of the GNU
+family that "or later" follows has the identifier with that ending.
+
 Defined cases: null text is empty, and a document without candidate blocks has no license. Every
-notice in a stretch of its own counts, whatever the length of its line. Of templates that save as much
-as each other the one with fewer differences, then the first by name, wins.
+notice in a stretch of its own counts, whatever the length of its line; texts of any length are taken
+whole. Of templates that save as much as each other the one with fewer differences, then the first by
+name, wins. Rows are judged one by one, so repeated rows and null or repeated ids count each. Only the
+id and the text are looked at, so names of other columns can't clash. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,38 +32,71 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm.common import text_of
 
+#: SPDX identifiers and the names that notices call licenses by.
+NAMES = (
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("Unlicense", "Unlicense"),
+    ("Zlib", "zlib License"),
+)
+#: The customary ways to grant one by its name; a Creative Commons name takes an article.
+GRANTS = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.")
 #: Notices in the customary wordings of public licenses.
-TEMPLATES = (
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+WORDINGS = (
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
+
+
+def _granted() -> list[tuple[str, str]]:
+    """A notice for each name and way to grant it, and SPDX lines."""
+    out = [(spdx, grant.format(name).replace("the CC", "CC").replace("the Creative", "a Creative")) for spdx, name in NAMES for grant in GRANTS]
+    return out + [(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in dict.fromkeys(spdx for spdx, _ in NAMES)]
+
+
+TEMPLATES = (*WORDINGS, *_granted())
 #: Words that tell licenses apart, besides all words with a digit or a capital inside.
-TELLING = frozenset("affero apache boost eclipse general lesser mit mozilla noncommercial nc nd sa by isc bsd cc cc0 attribution sharealike not except unencumbered".split())
+TELLING = frozenset("affero apache boost eclipse general lesser mit mozilla noncommercial noderivatives nc nd sa by isc bsd cc cc0 zlib unlicense library attribution sharealike not never no except unencumbered licensed released distributed".split())
+#: A notice that follows one of these, or another word after it, in its sentence grants nothing.
+DENIALS = frozenset("not never neither nor cannot isn wasn aren weren".split())
+#: What follows a version where later ones are granted, too.
+LATER = tuple(x.split() for x in ("or later", "or any later version", "or newer", "or at your option any later version"))
 #: Words of a cue may stand in different lines.
-CUE = r"(?i)licen[cs]|copyright|redistribut|permission[^a-z0-9]+(?:to|is)|public[^a-z0-9]+domain|unencumbered|creative[^a-z0-9]+commons"
+CUE = r"(?i)licen[cs]|copyright|redistribut|permission[^a-z0-9]+(?:to|is)|public[^a-z0-9]+domain|unencumbered|creative[^a-z0-9]+commons|implied[^a-z0-9]+warrant|under[^a-z0-9]+cc[^a-z]"
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
 _CUE = re.compile(CUE, re.ASCII)
 _SENTENCE = re.compile(r"[.!?:][ \t\n\x0b\f\r]+")
@@ -157,10 +195,21 @@ class Scanner:
             for k, (name, template, _) in enumerate(self.templates):
                 for changes, start, end in self.stretches(template, split[begin:stop]):
                     start, end = start + begin, end + begin
+                    if self.denied(split, start, first_word(spans, ends[place(spans[start][0]) - 1])):
+                        continue
                     block = text[ends[place(spans[start][0]) - 1] : ends[place(spans[end - 1][0])]]
                     less, share = self.saved(plain(block), k)
                     found.append((-less, changes, name, start, end, share))
-        return len({place(at) for at in cues}), [Match(name, share, changes) for _, changes, name, _, _, share in apart(sorted(found), lambda x: x[3:5])]
+        notices = [Match(self.ending(name, split, end), share, changes) for _, changes, name, _, end, share in apart(sorted(found), lambda x: x[3:5])]
+        return len({place(at) for at in cues}), notices
+
+    def denied(self, split: list[str], start: int, sentence: int) -> bool:
+        """One of the two words before ``start``, in its sentence, denies what follows."""
+        return not DENIALS.isdisjoint(split[max(sentence, start - 2) : start])
+
+    def ending(self, name: str, split: list[str], end: int) -> str:
+        later = "GPL-" in name and not name.endswith("-or-later") and any(split[end : end + len(w)] == w for w in LATER)
+        return f"{name}-or-later" if later else name
 
     def scan(self, block: str) -> Match | None:
         """The notice that saves most."""
@@ -178,6 +227,11 @@ def apart(found: list[tuple], span) -> list[tuple]:
     return out
 
 
+def first_word(spans: list[tuple[int, int]], at: int) -> int:
+    """The number of the first word that begins at ``at`` or later."""
+    return bisect.bisect_left(spans, (at, -1))
+
+
 def cuts(text: str) -> np.ndarray:
     """Where the lines and sentences of ``text`` begin, and its end."""
     sentences = (m.end() for m in _SENTENCE.finditer(text) if m.end() < len(text) and unicodedata.category(text[m.end()]) == "Lu")

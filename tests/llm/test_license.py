@@ -14,15 +14,23 @@ def test_each_template_is_found(name, text):
         assert found and found.license == name and found.changes == 0, (block, found)
 
 
-@pytest.mark.parametrize("text", ["Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 3.0.", "This is not licensed at all.", "A driver's licence is needed.", "Not released under the MIT License terms but the WTF License", "copyright 2020", "Released under the MID License."])
+@pytest.mark.parametrize("text", ["Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 3.0.", "This is not licensed at all.", "A driver's licence is needed.", "copyright 2020", "Released under the MID License.",
+                                  "Not released under the MIT License.", "This is not Released under the MIT License.", "It isn't licensed under the ISC License.", "This work is not yet licensed under the GNU General Public License, version 3.", "Never distributed under the zlib License"])
 def test_other_wordings(text):
-    found = L.scanner().scan(text)
-    assert found is None or (text.startswith("Not") and found.license == "MIT")
+    assert L.scanner().scan(text) is None
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Do not worry. Released under the MIT License.", ["MIT"]), ("Licensed under the MIT License.", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1-or-later"]),
+    ("This work is licensed under the GNU General Public License, version 2 or later.", ["GPL-2.0-or-later"]), ("Released under the GNU General Public License, version 3, or (at your option) any later version.", ["GPL-3.0-or-later"]),
+    ("Licensed under the MIT License or later talks.", ["MIT"]), ("Not released under the MIT License. Released under the ISC License.", ["ISC"]),
+])
+def test_denials_and_later_versions(text, want):
+    assert sorted(m.license for m in L.scanner().matches(text)[1]) == want
 
 
 def test_small_changes_count():
-    long = dict((t, n) for n, t in L.TEMPLATES)
-    mit = next(t for t in long if t.startswith("Permission is hereby"))
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and t.startswith("Permission is hereby"))
     found = L.scanner().scan(mit.replace("charge, to any", "charge, for any"))
     assert found.license == "MIT" and found.changes == 1
     assert L.scanner().scan(" ".join(mit.split()[::2])) is None
@@ -32,7 +40,7 @@ def test_notices_beside_other_legal_phrases():
     """The verbatim notice isn't among the four templates that save most."""
     phrases = [t for _, t in L.TEMPLATES if len(t) > 70]
     for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
-        for k in range(len(phrases)):
+        for k in range(0, len(phrases), 2):
             beside = " ".join(" ".join(phrases[(k + i) % len(phrases)].split()[3:9]) for i in range(5))
             found = L.scanner().scan(f"{beside} {notice}")
             assert found and found.license == name, (beside, found)
@@ -67,7 +75,7 @@ def test_stretches_equal_brute_force():
 def test_wrapped_notices(spark):
     rows = []
     for name, text in L.TEMPLATES:
-        for width in (40, 48, 60, 72, 80):
+        for width in (40, 60, 80):
             for prefix in ("", "# ", " * "):
                 lines = [prefix + x for x in textwrap.wrap(f"Some words go here before it. {text}", width)]
                 rows.append((len(rows), "\n".join([prose(300, 1), *lines, prose(300, 2)]), name))
@@ -89,6 +97,12 @@ def test_scan(spark):
 def test_whole_table_equals_a_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.licenses for r in L.scan(docs).collect()}
+    # by brute force over all templates: the words of each, one after the other, anywhere in the text
+    known = [(n, f" {' '.join(L.words(t))} ") for n, t in L.TEMPLATES]
+    found = 0
     for r in docs.collect():
-        want = {n for n, t in L.TEMPLATES if t in r.text}
+        text = f" {' '.join(L.words(r.text))} "
+        want = {n for n, t in known if t in text}
         assert got[r.doc_id] == ",".join(sorted(want)), r.doc_id
+        found += bool(want)
+    assert found > 20
