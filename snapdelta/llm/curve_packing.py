@@ -6,11 +6,15 @@ range is tokenised in that order and cut into sequences of ``length`` ids, so ne
 curve share sequences and nothing but the end of a range is left over. That rest is cut into
 sequences whose sizes are powers of two, which need no padding.
 
-Whole texts are dealt out once, ties on the curve (copies) are told apart by id and text hash, so
-that a group of copies of any size spreads over ranges. A range is read as a stream.
-
-Defined cases: null text is empty, a document of the end id alone. Rows with null or repeated ids
-are documents of their own. An empty table has no pieces.
+Bounds of ranges come from a sample of documents, so keys are computed once and whole texts are dealt
+out once. Ranges hold about ``range_bytes`` of text however much there is. Ties on the curve (copies)
+are told apart by a hash of id and text, so a group of copies of any size spreads over ranges. A range
+is read as a stream.
+
+Defined cases: null text is empty, a document of the end id alone. Rows with null or repeated ids, and
+repeated rows, are documents of their own; ids may have any type. Texts of any length are cut over
+sequences. Only the id and the text are looked at, so names of other columns can't clash. An empty
+table has no pieces.
 """
 
 from __future__ import annotations
@@ -23,21 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.common import quiet_threads, text_of
+from snapdelta.llm.common import fixed_numbers, quiet_threads, text_of
 
 DIMENSIONS, BITS, HASHED = 3, 16, 1 << 12
 SPREAD = 0.5  # projections of vectors of shares lie well inside -SPREAD..SPREAD
 _RANGE = 40  # bits of a sequence id below the range's number
+_TIES = 15
 
 
 @functools.lru_cache(maxsize=1)
 def _matrix() -> np.ndarray:
-    return np.random.default_rng(17).standard_normal((HASHED, DIMENSIONS)).astype(np.float32)
+    """Signs, which depend on nothing but this line."""
+    return np.array([[1.0 if x >> d & 1 else -1.0 for d in range(DIMENSIONS)] for x in fixed_numbers("curve", HASHED)], np.float32)
 
 
 def project(text: str) -> np.ndarray:
@@ -82,14 +87,31 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(text: Column) -> Column:
-    """The Hilbert key of a text."""
+def curve_order(text: Column, tie: Column) -> Column:
+    """The Hilbert key of a text, with 15 bits of ``tie`` below it."""
 
     @F.pandas_udf("long")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series(hilbert(np.array([project(t) for t in column], np.int64).reshape(-1, DIMENSIONS)), index=column.index)
+    def run(texts: pd.Series, ties: pd.Series) -> pd.Series:
+        key = hilbert(np.array([project(t) for t in texts], np.int64).reshape(-1, DIMENSIONS))
+        return pd.Series(key << _TIES | ties.to_numpy() & ((1 << _TIES) - 1), index=texts.index)
+
+    return run(text, tie)
+
 
-    return run(text)
+def range_bounds(rows: DataFrame, range_bytes: int, least_bytes: int, sampled: int, each: int = 100) -> tuple[list[int], int]:
+    """(bounds, ranges) for rows of (text, tie), from a sample of about ``sampled`` rows, or ``each`` a range if that is more."""
+    n = rows.count()
+    for wanted in (sampled, None):
+        share = min(1.0, (wanted or each * ranges) / max(1, n))  # noqa: F821  the second time the first sample has told
+        picked = rows if share == 1.0 else rows.sample(share, seed=17)
+        seen = picked.select(curve_order(F.col("text"), F.col("tie")).alias("o"), F.octet_length("text").alias("b")).collect()
+        whole = sum(r["b"] + 1 for r in seen) / share
+        least = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(whole // least_bytes))
+        ranges = max(1, least, int(-(-whole // range_bytes)))
+        if share == 1.0 or each * ranges <= 2 * sampled:
+            break
+    found = sorted(r["o"] for r in seen)
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)} if found else ()), ranges
 
 
 #: A tokenizer of this make treats the stretches between white space apart from each other.
@@ -176,22 +198,30 @@ def powers(rest: int) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", length: int = 2048, end_id: int = 1, with_ids: bool = False, range_bytes: int = 256 << 20, least_bytes: int = 8 << 20, sampled: int = 5000) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece.
 
     ``with_ids`` adds the piece's ids. ``sequence_id`` is the range's number above 40 bits and the
-    sequence's number in its range below.
+    sequence's number in its range below. A range holds about ``range_bytes`` of text; less in a small
+    table, which has a range for each of the session's shuffle partitions if that leaves
+    ``least_bytes`` in each.
     """
-    rows = df.select(df[id_col].alias("__id"), text_of(text).alias("__text"))
-    ranged = rows.withColumn("__key", curve_key(F.col("__text"))).withColumn("__tie", F.xxhash64("__text"))
-    ordered = ranged.repartitionByRange("__key", "__id", "__tie").sortWithinPartitions("__key", "__id", "__tie").select("__id", "__text")
+    rows = df.select(F.col(id_col).alias("id"), text_of(text).alias("text")).withColumn("tie", F.xxhash64("id", "text"))
+    bounds, ranges = range_bounds(rows.select("text", "tie"), range_bytes, least_bytes, sampled)
+    limits = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(orders: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(limits, orders.to_numpy(), side="right").astype(np.int32), index=orders.index)
+
+    placed = rows.withColumn("order", curve_order(F.col("text"), F.col("tie"))).withColumn("target", range_of("order"))
+    ordered = placed.repartitionById(ranges, F.col("target")).sortWithinPartitions("target", "order", "tie").select("target", "id", "text")
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL(SCHEMA + (", ids array<int>" if with_ids else "")).fields])
-    id_type = pa.int64() if isinstance(schema[0].dataType, T.LongType) else None
     crc = zlib.crc32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = tokens(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        sequence, offset = TaskContext.get().partitionId() << _RANGE, 0
+        id_type, target, sequence, offset = None, None, 0, 0
         open_: list[tuple] = []  # pieces of the sequence that isn't full yet, with their bytes
 
         def out(pieces: list[tuple]) -> pa.RecordBatch:
@@ -201,9 +231,28 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
                 arrays.append(pa.array([np.frombuffer(p[7], "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
+        def rest() -> list[tuple]:
+            """The end of a range, cut again at powers of two."""
+            cuts, sizes, room, number = [], powers(offset), 0, sequence
+            for key, start, n, _, total, _, _, part in open_:
+                at = 0
+                while at < n:
+                    if not room:
+                        size = room = sizes.pop(0)
+                        number += bool(cuts)
+                    m = min(room, n - at)
+                    cut = part[4 * at : 4 * (at + m)]
+                    cuts.append((key, start + at, m, crc(cut), total, number, size - room, cut))
+                    at, room = at + m, room - m
+            return cuts
+
         for batch in batches:
             done: list[tuple] = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            id_type = batch.column(1).type
+            for to, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if to != target:
+                    done += rest()
+                    open_, target, sequence, offset = [], to, to << _RANGE, 0
                 ids = tool(value.as_py()) + end
                 total, start = len(ids) // 4, 0
                 while start < total:
@@ -217,18 +266,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
             if done:
                 yield out(done)
         if open_:
-            # the rest of the range: cut again at powers of two
-            done, sizes, room = [], powers(offset), 0
-            for key, start, n, _, total, _, _, part in open_:
-                at = 0
-                while at < n:
-                    if not room:
-                        size = room = sizes.pop(0)
-                        sequence += bool(done)
-                    m = min(room, n - at)
-                    cut = part[4 * at : 4 * (at + m)]
-                    done.append((key, start + at, m, crc(cut), total, sequence, size - room, cut))
-                    at, room = at + m, room - m
-            yield out(done)
+            yield out(rest())
 
     return ordered.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from snapdelta.llm import curve_packing as K
-from tests.llm.conftest import AWKWARD
+from tests.llm.conftest import AWKWARD, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,8 +44,57 @@ def test_hilbert_curve_is_a_walk():
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_pieces(spark, docs, library):
-    got = K.pack(docs, PATH, length=64, with_ids=True).collect()
+def plain_point(text):
+    """A stretch and a dimension at a time, in Python's own numbers."""
+    import xxhash
+
+    raw = (text or "").encode()
+    if len(raw) < 4:
+        return [0, 0, 0]
+    sums = [0, 0, 0]
+    for i in range(len(raw) - 3):
+        bin_ = (int.from_bytes(raw[i : i + 4], "little") * 2654435761 & 0xFFFFFFFF) >> 20
+        signs = xxhash.xxh64_intdigest(f"curve {bin_}".encode())
+        sums = [s + (1 if signs >> d & 1 else -1) for d, s in enumerate(sums)]
+    return [min(65535, max(0, int((s / (len(raw) - 3) + 0.5) * 65536))) for s in sums]
+
+
+def plain_hilbert(point, bits=16):
+    """Gray-code form of the curve (as in test_hilbert_curve_is_a_walk), by walking down the cubes."""
+    x = list(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(3):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    x[1] ^= x[0]
+    x[2] ^= x[1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[2] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(x[i] >> b & 1) for b in range(bits - 1, -1, -1) for i in range(3)), 2)
+
+
+def test_keys_equal_brute_force(spark, docs):
+    rows = docs.where("length(text) < 3000 or text is null").select(K.text_of().alias("t")).select("t", K.curve_order(K.F.col("t"), K.F.lit(0).cast("long")).alias("o")).collect()
+    for r in rows:
+        point, plain = K.project(r.t).tolist(), plain_point(r.t)
+        assert max(abs(a - b) for a, b in zip(point, plain)) <= 1  # rounding
+        assert r.o >> 15 == plain_hilbert(point)
+
+
+@pytest.mark.parametrize("ranges", [{}, {"range_bytes": 2000, "sampled": 10}, {"least_bytes": 500}])
+def test_pieces(spark, docs, library, ranges):
+    got = K.pack(docs, PATH, length=64, with_ids=True, **ranges).collect()
+    assert len({r.sequence_id >> 40 for r in got}) > 20 if "range_bytes" in ranges else len({r.sequence_id >> 40 for r in got}) <= 4
     want = sorted((str(r.doc_id), *ids_of(library, r.text), 1) for r in docs.collect())
     by_doc: dict = {}
     for r in got:
@@ -78,8 +127,6 @@ def test_pieces(spark, docs, library):
 
 
 def test_neighbours_on_the_curve_share_sequences(spark):
-    from tests.llm.conftest import prose
-
     rows = [(k * 100 + i, prose(120, k) + f" extra{i}") for k in range(6) for i in range(20)]
     got = K.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).collect()
     topics: dict = {}
@@ -90,3 +137,20 @@ def test_neighbours_on_the_curve_share_sequences(spark):
 
 def test_powers():
     assert all(sum(K.powers(n)) == n for n in range(300)) and K.powers(0) == []
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "smallint", "decimal(12,0)"])
+def test_ids_of_other_types(spark, docs, kind):
+    own = docs.where("doc_id < 130 or doc_id is null").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    got = K.pack(own, PATH)
+    assert got.schema["doc_id"].dataType == own.schema["doc_id"].dataType
+    assert {str(r.doc_id) for r in got.collect()} == {str(r.doc_id) for r in own.collect()}
+
+
+def test_a_group_of_copies_spreads(spark):
+    own = spark.range(400).selectExpr("id AS doc_id", f"'{prose(60, 1)}' AS text")
+    got = K.pack(own, PATH, range_bytes=8000, sampled=200).collect()
+    sizes: dict = {}
+    for r in got:
+        sizes[r.sequence_id >> 40] = sizes.get(r.sequence_id >> 40, 0) + r.length
+    assert len(sizes) >= 10 and max(sizes.values()) <= 0.3 * sum(sizes.values())
