@@ -3,13 +3,22 @@
 ``spark.read.format("warc").load(folder)`` plans partitions from whole files (small ones share a
 partition), takes predicates on the record type and other headers, and parses headers first: a
 record that the predicates refuse is skipped without its block being decoded or kept (in plain
-files by seeking past it). ``option("payload", "false")`` skips every block. Writing makes one file
-a task, with a gzip member a record; files get their final names when the job is committed, so a
-lost or repeated task leaves nothing behind.
+files by seeking past it). ``option("payload", "false")`` skips every block, and a list of record types
+those of other types. Field names count without case, as the format has it; chunked and compressed
+HTTP bodies are decoded (gzip and deflate; others are left as they are).
 
-``dedupe_and_write`` writes pages with revisit records for equal payloads.
+Writing makes gzip members a record and begins a new file every ``rollbytes``, so that no archive of
+ours is a long task for a reader. Files get their final names when the job is committed, and what
+failed or repeated attempts of the job have left is deleted then, or when it is aborted (an attempt
+that still runs after that may leave a file whose name begins with an underscore, which readers skip).
+
+``dedupe_and_write`` writes pages with revisit records for equal payloads, ``pages_back`` reads them.
 
 Files are reached through pyarrow's file systems, so the folder may be local (shared) or remote.
+
+Defined cases: see ``dedupe_and_write``. A folder without archives has no records; a record that breaks
+off is an error. Payloads of any length are whole values, of which a batch holds 8 MB or one. Only id,
+url and html of the pages are looked at, so names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +37,8 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from snapdelta.llm.common import drop_written, join_spread, written
+
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, payload_digest string, content_length long, headers map<string,string>, payload binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Columns that stand for a header field.
@@ -101,25 +113,72 @@ class Blocks:
         self.buffer = self.buffer[n:]
 
 
-def parse_head(head: bytes) -> dict[str, str]:
-    version, *lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
-    if not version.startswith("WARC/"):
-        raise ValueError(f"not a WARC record: {version[:40]!r}")
+#: Field names as this module spells them, by their lower-case form.
+_SPELLED = {n.lower(): n for n in (*FIELDS.values(), "Content-Type", "Content-Length", "WARC-Profile", "WARC-Truncated", "X-Page-Id", "X-Payload-Length", "X-Refers-To-Page-Id")}
+
+
+def fields_of(lines: list[str]) -> dict[str, str]:
+    """Fields with their customary spelling; of repeated ones the last counts."""
     out: dict[str, str] = {}
+    name = ""
     for line in lines:
-        if line[:1] in " \t" and out:
-            out[name] += " " + line.strip()  # noqa: F821  a folded line goes on with the last field
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()  # a folded line goes on with the last field
             continue
-        name, _, value = line.partition(":")
-        out[name.strip()] = value.strip()
+        name, colon, value = line.partition(":")
+        name = _SPELLED.get(name.strip().lower(), name.strip())
+        if colon:
+            out[name] = value.strip()
+        else:
+            name = ""
     return out
 
 
+def parse_head(head: bytes) -> dict[str, str]:
+    version, *lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+    if not version.upper().startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {version[:40]!r}")
+    return fields_of(lines)
+
+
+def dechunked(body: bytes) -> bytes:
+    """The chunks of a chunked body; from a chunk whose size makes no sense on, nothing."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0].strip(), 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """A gzip or deflate body; as it is if it can't be read or the coding is another."""
+    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
+    for bits in kinds:
+        tool = zlib.decompressobj(bits)
+        try:
+            return tool.decompress(body) + tool.flush()
+        except zlib.error:
+            continue
+    return body
+
+
 def payload_of(block: bytes, headers: dict[str, str]) -> bytes:
-    """What an HTTP message carries, or the block itself."""
-    if headers.get("Content-Type", "").replace(" ", "").startswith("application/http"):
-        return block.partition(_END)[2]
-    return block
+    """What an HTTP message carries, without its codings, or the block itself."""
+    if not headers.get("Content-Type", "").replace(" ", "").lower().startswith("application/http"):
+        return block
+    head, _, body = block.partition(_END)
+    http = {k.lower(): v.lower() for k, v in fields_of(head.decode("latin-1").split("\r\n")[1:]).items()}
+    if "chunked" in http.get("transfer-encoding", ""):
+        body = dechunked(body)
+    for coding in reversed([c.strip() for c in http.get("content-encoding", "").split(",") if c.strip()]):
+        body = inflated(body, coding)
+    return body
 
 
 @dataclass
@@ -129,7 +188,9 @@ class Files(ds.InputPartition):
 
 class WarcReader(ds.DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
+        self.path, asked = options["path"], options.get("payload", "true").lower()
+        self.payload = asked == "true"
+        self.payload_types = set() if asked in ("true", "false") else {t.strip() for t in asked.split(",")}
         self.share = int(options.get("partitionbytes", 64 << 20))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -181,9 +242,9 @@ class WarcReader(ds.DataSourceReader):
                 blocks = Blocks(file, path.endswith(".gz"))
                 while (head := blocks.head()) is not None:
                     headers = parse_head(head)
-                    n, payload = int(headers["Content-Length"]), None
+                    n, payload = int(headers.get("Content-Length", "0")), None
                     wanted = self.wanted(headers)
-                    if wanted and self.payload:
+                    if wanted and (self.payload or headers.get("WARC-Type", "").lower() in self.payload_types):
                         payload = payload_of(blocks.take(n), headers)
                         blocks.skip(4)
                     else:
@@ -200,7 +261,7 @@ class WarcReader(ds.DataSourceReader):
 
 @dataclass
 class Wrote(ds.WriterCommitMessage):
-    path: str | None
+    paths: tuple[str, ...]
 
 
 def record(row: dict) -> bytes:
@@ -220,38 +281,48 @@ def record(row: dict) -> bytes:
 class WarcWriter(ds.DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.zipped = options["path"], options.get("compression", "gzip") == "gzip"
+        self.roll, self.job = int(options.get("rollbytes", 256 << 20)), uuid.uuid4().hex
         if overwrite:
             raise ValueError("WARC folders are only appended to")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Wrote:
         system, folder = open_folder(self.path)
         system.create_dir(folder, recursive=True)
-        name = f"{folder}/_task-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped
-        file = None
+        attempt = f"{folder}/_task-{self.job}-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}"
+        names, file, held = [], None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                data = record(row)
+            for k in range(batch.num_rows):  # a row at a time: a batch's payloads are never all Python objects
+                data = record(batch.slice(k, 1).to_pylist()[0])
                 if self.zipped:
                     tool = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = tool.compress(data) + tool.flush()
-                file = file or system.open_output_stream(name, compression=None)
+                if file is None or held + len(data) > self.roll and held:
+                    if file:
+                        file.close()
+                    names.append(f"{attempt}-{len(names):04d}.warc" + ".gz" * self.zipped)
+                    file, held = system.open_output_stream(names[-1], compression=None), 0
                 file.write(data)
+                held += len(data)
         if file:
             file.close()
-        return Wrote(name if file else None)
+        return Wrote(tuple(names))
+
+    def _clear(self) -> None:
+        system, folder = open_folder(self.path)
+        for f in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if f.base_name.startswith(f"_task-{self.job}-"):
+                system.delete_file(f.path)
 
     def commit(self, messages: list[Wrote | None]) -> None:
         system, folder = open_folder(self.path)
         system.create_dir(folder, recursive=True)
-        for m in messages:
-            if m and m.path:
-                system.move(m.path, m.path.replace("/_task-", "/part-"))
+        paths = [p for m in messages if m for p in m.paths]
+        with ThreadPoolExecutor(16) as pool:  # a name costs a request each in an object store
+            list(pool.map(lambda p: system.move(p, p.replace("/_task-", "/part-")), paths))
+        self._clear()
 
     def abort(self, messages: list[Wrote | None]) -> None:
-        system, _ = open_folder(self.path)
-        for m in messages:
-            if m and m.path:
-                system.delete_file(m.path)
+        self._clear()
 
 
 class WarcDataSource(ds.DataSource):
@@ -274,14 +345,15 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, payload: bool | str = True) -> DataFrame:
+    """``payload``: whether blocks are decoded, or the record types (separated by commas) whose blocks are."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
 
 
-def write_warc(df: DataFrame, folder: str, compression: str = "gzip") -> None:
+def write_warc(df: DataFrame, folder: str, compression: str = "gzip", roll_bytes: int = 256 << 20) -> None:
     register(df.sparkSession)
-    df.select(*NAMES).write.format("warc").mode("append").option("compression", compression).save(folder)
+    df.select(*NAMES).write.format("warc").mode("append").option("compression", compression).option("rollbytes", str(roll_bytes)).save(folder)
 
 
 def _uri(key: Column) -> Column:
@@ -294,37 +366,44 @@ def dedupe_and_write(pages: DataFrame, folder: str, id_col: str = "page_id", url
     """Writes a record a page: of equal payloads of ``least`` bytes or more only the smallest id's is a response.
 
     Null html is an empty payload. Repeated rows of the smallest id are responses each; a page with
-    a null id revisits the smallest id there is, and is a response where there is none. The groups
-    are found on digests alone; the payloads are dealt out once, by digest, and a digest with very
-    many pages is split by Spark since its other side is one row.
+    a null id revisits the smallest id there is, and is a response where there is none. Ids may have any
+    type that has an order; null ones are told from empty ones.
+
+    Who revisits whom is found on (id, digest) alone, and only payloads that occur twice take part: a
+    digest's pages are counted before anything is dealt, and very frequent digests are spread. Payloads
+    are dealt out once, by id and digest, which no group of copies shares.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("target_uri"), body.alias("body"))
-    known = rows.select("id", F.sha2(F.col("body").cast("binary"), 256).alias("digest"), F.octet_length("body").alias("n"))
-    groups = known.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("__digest"), "first")
-    seen = rows.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).join(groups, F.col("digest") == F.col("__digest"), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    extra = F.create_map(F.lit("X-Page-Id"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("X-Payload-Length"), F.octet_length("body").cast("string"), F.lit("X-Refers-To-Page-Id"), F.when(revisit, F.col("first").cast("string")).otherwise(""))
+    spark = pages.sparkSession
+    body = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("target_uri"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
+    known = rows.where(F.octet_length("body") >= least).select("id", "digest")
+    groups = written(known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"), "warc-groups")
+    copies = join_spread(known, groups.drop("n"), "digest", groups.select("digest", "n")).where(~F.col("id").eqNullSafe(F.col("first"))).distinct()
+    revisits = copies.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    seen = rows.join(revisits, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    revisit = F.col("__digest").isNotNull()
+    named = lambda c: F.url_encode(F.col(c).cast("string"))  # noqa: E731  no line break, no space at an end
+    extra = F.map_filter(F.create_map(F.lit("X-Page-Id"), named("id"), F.lit("X-Payload-Length"), F.octet_length("body").cast("string"), F.lit("X-Refers-To-Page-Id"), F.when(revisit, named("first"))), lambda _, v: v.isNotNull())
     write_warc(seen.select(
         _uri(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("warc_date"),
         F.when(revisit, _uri(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.lit(0).cast("long").alias("content_length"),
-        extra.alias("headers"), F.when(~revisit, F.col("body").cast("binary")).alias("payload"),
+        extra.alias("headers"), F.when(~revisit, F.col("body")).alias("payload"),
     ), folder, compression)
+    drop_written(groups)
 
 
-def pages_back(spark: SparkSession, folder: str) -> DataFrame:
+def pages_back(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) from an archive that ``dedupe_and_write`` made.
 
-    Responses are measured by their payload as read; revisits only by their headers, in a scan that
-    skips every block.
+    One scan: responses are measured by their payload as read, revisits by their headers, without their
+    blocks being decoded. ``id_type`` is that of the ids that were written.
     """
     field = lambda name: F.element_at("headers", name)
-    number = lambda name: F.expr(f"try_cast(nullif(element_at(headers, '{name}'), '') AS BIGINT)")
-    responses = read_warc(spark, folder).where("record_type = 'response'").select(
-        number("X-Page-Id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = read_warc(spark, folder, payload=False).where("record_type = 'revisit'").select(
-        number("X-Page-Id").alias("page_id"), field("X-Payload-Length").cast("long").alias("payload_bytes"), F.replace("payload_digest", F.lit("sha256:"), F.lit("")).alias("payload_digest"), "record_type", number("X-Refers-To-Page-Id").alias("refers_to"))
-    return responses.unionByName(revisits)
+    key = lambda name: F.url_decode(field(name)).cast(id_type)
+    own = F.col("record_type") == "response"
+    return read_warc(spark, folder, "response").where("record_type in ('response', 'revisit')").select(
+        key("X-Page-Id").alias("page_id"), F.when(own, F.octet_length("payload")).otherwise(field("X-Payload-Length").cast("int")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.replace("payload_digest", F.lit("sha256:"), F.lit(""))).alias("payload_digest"), "record_type", key("X-Refers-To-Page-Id").alias("refers_to"))
 
 
 ORACLE = """

@@ -91,3 +91,55 @@ def test_foreign_archives(spark, tmp_path):
 def test_empty_table(spark, pages, tmp_path):
     W.dedupe_and_write(pages.limit(0), str(tmp_path / "w"))
     assert W.pages_back(spark, str(tmp_path / "w")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_other_types(spark, tmp_path, kind):
+    ids = ["b c", "", None, "a\n/ü", "ß"] if kind == "string" else [5, -3, None, 7, 2]
+    rows = [(i, "http://x/", BIG) for i in ids] + [(ids[0], "http://x/", "other")]
+    folder = str(tmp_path / kind)
+    W.dedupe_and_write(spark.createDataFrame(rows, f"page_id {kind}, url string, html string"), folder)
+    least = min((i for i in ids if i is not None), key=lambda i: i.encode() if kind == "string" else i)
+    got = W.pages_back(spark, folder, kind).collect()
+    want = [(i, "revisit" if h == BIG and i != least else "response", least if h == BIG and i != least else None) for i, _, h in rows]
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id is not None) == sorted(w for w in want if w[0] is not None)
+    assert [(r.record_type, r.refers_to) for r in got if r.page_id is None] == [w[1:] for w in want if w[0] is None]
+
+
+def http(head, body):
+    block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+    return b"WARC/1.0\r\nwarc-type: response\r\nCONTENT-TYPE: Application/HTTP; msgtype=response\r\ncontent-length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_other_writers_spelling_and_codings(spark, tmp_path):
+    import zlib
+
+    page = b"<p>" + b"z" * 500
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = raw.compress(page) + raw.flush()
+    chunks = b"%x;x=y\r\n%b\r\n%x\r\n%b\r\n0\r\n\r\n" % (100, page[:100], len(page) - 100, page[100:])
+    zipped = gzip.compress(page)
+    records = [
+        http(b"transfer-encoding: Chunked", chunks), http(b"Content-Encoding: gzip", zipped), http(b"Content-Encoding: deflate", zlib.compress(page)), http(b"Content-Encoding: deflate", raw),
+        http(b"Transfer-Encoding: chunked\r\nContent-Encoding: GZIP", b"%x\r\n%b\r\n0\r\n\r\n" % (len(zipped), zipped)), http(b"Content-Encoding: br", page), http(b"Content-Encoding: gzip", page),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    got = W.read_warc(spark, str(tmp_path)).where("record_type = 'response'").collect()
+    assert [bytes(r.payload) for r in got] == [page] * len(records)
+    assert W.read_warc(spark, str(tmp_path), "metadata,revisit").where("payload is null").count() == len(records)
+
+
+def test_files_roll_and_strays_go(spark, pages, tmp_path):
+    folder = tmp_path / "w"
+    rows = spark.range(50).selectExpr("concat('<', id, '>') record_id", "'response' record_type", "'u' target_uri", "'d' warc_date", "cast(null as string) refers_to", "cast(null as string) payload_digest", "0L content_length", "map('X', 'y') headers", "cast(repeat(uuid(), 300) as binary) payload").repartition(2)
+    W.write_warc(rows, str(folder), "none", roll_bytes=50_000)
+    names = [p.name for p in folder.iterdir()]
+    assert len(names) > 8 and all(p.stat().st_size < 70_000 for p in folder.iterdir()) and W.read_warc(spark, str(folder)).count() == 50
+    writer = W.WarcWriter({"path": str(folder)}, False)
+    stray, other = folder / f"_task-{writer.job}-00000-x.warc.gz", folder / "_task-other-00000-x.warc.gz"
+    for end in (writer.commit, writer.abort):
+        stray.write_bytes(b"half a record")
+        other.write_bytes(b"another job's")
+        end([])
+        assert not stray.exists() and other.exists()
+    assert W.read_warc(spark, str(folder)).count() == 50
