@@ -5,17 +5,22 @@ each document's own evidence. The evidence of all documents is then summed by pa
 path's rate of good documents is shrunk toward its host's, a host's toward the global one, each
 with a prior strength estimated from the spread of the rates (method of moments), so sparse sites
 stay near the global prior. A document's log-odds are its own plus what its path's posterior adds
-to the global prior.
-
-Host is ``source`` up to its first slash and path is the rest of it with the language, unless other
-columns are given. Defined cases: null text is empty; null source or language are sites of their
-own; without labels of both kinds every document's own evidence is even (0.5) and all are kept. Repeated rows count
-each. Documents whose posterior is below ``threshold`` are rejected; it stands at 0.2, so that losing
-a good document costs four times what keeping a bad one does.
+to the global prior, where its own evidence is taken out of its path's and its host's sums, so that
+it doesn't count twice.
+
+Host is ``source`` up to its first slash, and a path is a ``source`` with a language, unless other columns
+are given. Defined cases: null text is empty, texts of any length are measured whole; null and empty
+sources are sites of their own, and so are null and empty languages; without labels of both kinds
+every document's own evidence is even (0.5) and all are kept. Rows count each, with null and repeated
+ids too; a document that is labelled twice has the lower label. Documents whose posterior is below
+``threshold`` are rejected; it stands at 0.2, so that losing a good document costs four times what
+keeping a bad one does. Other columns are carried as one struct, so their names can't clash. An
+empty table has no rows.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,36 +28,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import bounded_sample, text_of
+from snapdelta.llm.common import bounded_sample, drop_written, join_spread, rows_of, text_of, unpacked, written
+
+MARKS = string.punctuation
+FEATURES = ["log_words", "distinct", "common_word", "word_length", "line_length", "upper", "digit", "wide", "shouted", "unlettered", *(f"mark {m}" for m in MARKS), "tail_upper", "tail_digit", "tail_mark"]
+_MARKS = np.frombuffer(MARKS.encode(), np.uint8)
+_UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 
-FEATURES = ["log_words", "distinct", "common_word", "upper", "digit", "mark", "rare_mark", "pipe", "bang", "word_length", "wide", "line_length", "marked_words", "upper_words", "tail_rate"]
+
+def _classes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all bytes, and of upper-case letters, digits and marks."""
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    return counts, np.array([counts[_UPPER].sum(), counts[_DIGIT].sum(), counts[_MARKS].sum()])
 
 
 def features(text: str) -> np.ndarray:
-    """Shares and rates of a text, none of which grows with its length but ``log_words``."""
+    """Shares and rates of a text, none of which grows with its length but ``log_words``.
+
+    The last quarter's classes are taken apart, as what is appended to a text often differs from it.
+    """
     raw = text.encode()
     words = raw.split()
     n, size = len(words), max(1, len(raw))
     if not n:
         return np.zeros(len(FEATURES))
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    upper, digit = counts[65:91].sum(), counts[48:58].sum()
-    mark = counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum()
-    rare = counts[[35, 36, 37, 38, 42, 60, 62]].sum()
+    counts, whole = _classes(raw)
+    tail = raw[3 * len(raw) // 4 :]
     seen: dict[bytes, int] = {}
     for w in words:
         seen[w] = seen.get(w, 0) + 1
-    ends = np.frombuffer(bytes([w[-1] for w in words]), np.uint8)
-    marked = np.isin(ends, [33, 35, 36, 37, 38, 42, 124]).mean()
-    shouted = sum(map(bytes.isupper, words)) / n
-    # the last quarter apart: junk often follows good text
-    tail = raw[3 * len(raw) // 4 :]
-    tail_counts = np.bincount(np.frombuffer(tail, np.uint8), minlength=256)
-    tail_rate = (tail_counts[[33, 35, 36, 37, 38, 42, 124]].sum() + tail_counts[65:91].sum()) / max(1, len(tail))
-    return np.array([
-        np.log1p(n), len(seen) / n, max(seen.values()) / n, upper / size, digit / size, mark / size, rare / size, 10 * counts[124] / size, 10 * counts[33] / size,
-        size / n / 10, (counts[128:192].sum()) / size, np.log1p(size / (1 + counts[10])), marked, shouted, tail_rate,
-    ])
+    shouted = sum(k for w, k in seen.items() if w.isupper())
+    unlettered = sum(k for w, k in seen.items() if w.upper() == w.lower() and w.isascii())
+    shape = [np.log1p(n), len(seen) / n, max(seen.values()) / n, size / n / 10, np.log1p(size / (1 + counts[10])), whole[0] / size, whole[1] / size, counts[128:192].sum() / size, shouted / n, unlettered / n]
+    return np.concatenate([shape, counts[_MARKS] / size, _classes(tail)[1] / max(1, len(tail)) - whole / size])
 
 
 @dataclass(frozen=True)
@@ -92,9 +100,8 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str
     Their labels, at most ``max_labelled`` small rows, are broadcast to the scan of the documents,
     so no text is shuffled; what comes back to the driver is a row of features for each.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
-    # repeated labels of a document count once; where they differ the lower one does
-    sample = bounded_sample(chosen.groupBy("__id").agg(F.min("__label").alias("__label")), "__id", max_labelled)
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label).alias("label"))
+    sample = bounded_sample(chosen.groupBy("key").agg(F.min("label").alias("label")), "key", max_labelled)
     local = df.sparkSession.createDataFrame(sample.collect(), sample.schema)
 
     @F.pandas_udf("array<double>")
@@ -102,26 +109,28 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str
         return column.map(lambda t: features(t))
 
     # an id that occurs in many rows counts once, too
-    rows = df.join(F.broadcast(local), df[id_col] == F.col("__id")).select("__id", "__label", measured(text_of(text)).alias("x"))
-    found = rows.groupBy("__id", "__label").agg(F.min("x").alias("x")).orderBy("__id").collect()
+    own = df.select(F.col(id_col).alias("id"), text_of(text).alias("body"))
+    rows = own.join(F.broadcast(local), F.col("id") == F.col("key")).select("key", "label", measured("body").alias("x"))
+    found = rows.groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key").collect()
     if not found:
         return EVEN
-    return train(np.array([r["x"] for r in found]), np.array([float(r["__label"] > 0) for r in found]))
+    return train(np.array([r["x"] for r in found]), np.array([float(r["label"] > 0) for r in found]))
 
 
-def evidence(model: Model, text: str = "text") -> Column:
+def evidence(model: Model, text: Column) -> Column:
     """The probability that the document is good, by its text alone."""
 
     @F.pandas_udf("double")
     def run(column: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.array([features(t) for t in column]).reshape(-1, len(FEATURES))), index=column.index)
 
-    return run(text_of(text))
+    return run(text)
 
 
-def host_and_path(source: str = "source", lang: str = "lang") -> tuple[Column, Column]:
-    site = F.coalesce(F.col(source), F.lit(""))
-    return F.substring_index(site, "/", 1), F.concat_ws("|", site, F.coalesce(F.col(lang), F.lit("")))
+def site_keys(source: Column, lang: Column) -> dict[str, Column]:
+    """What tells hosts and paths apart, null and empty values too (a null field is left out of the JSON)."""
+    host = F.substring_index(source, "/", 1)
+    return {"host": F.to_json(F.struct(host.alias("host"))), "path": F.to_json(F.struct(source.alias("source"), lang.alias("lang")))}
 
 
 def _strength(rates: Column, n: Column) -> Column:
@@ -136,8 +145,8 @@ def _strength(rates: Column, n: Column) -> Column:
     return F.least(F.greatest(mean * (1 - mean) / between, F.lit(5.0)), F.lit(10000.0))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_rate, path_rate, prior) from rows of (host, path, p).
+def site_sums(scored: DataFrame) -> DataFrame:
+    """(path, n, s, hn, hs, prior, host_strength, path_strength) from rows of (host, path, p).
 
     Rows are summed by path before anything is dealt out, so a site with a third of all rows costs
     one row from each task. The global figures are one row.
@@ -147,8 +156,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     overall = hosts.agg((F.sum("hs") / F.sum("hn")).alias("prior"), _strength(F.col("hs") / F.col("hn"), F.col("hn")).alias("host_strength"))
     inner = paths.agg(_strength(F.col("s") / F.col("n"), F.col("n")).alias("path_strength"))
     top = overall.crossJoin(inner)  # one row by one row
-    shrunk = hosts.crossJoin(F.broadcast(top)).select(F.col("host").alias("__host"), "prior", "path_strength", ((F.col("hs") + F.col("host_strength") * F.col("prior")) / (F.col("hn") + F.col("host_strength"))).alias("host_rate"))
-    return paths.join(shrunk, F.col("host") == F.col("__host")).select("host", "path", "host_rate", ((F.col("s") + F.col("path_strength") * F.col("host_rate")) / (F.col("n") + F.col("path_strength"))).alias("path_rate"), "prior")
+    return paths.join(hosts.crossJoin(F.broadcast(top)), "host").select("path", "n", "s", "hn", "hs", "prior", "host_strength", "path_strength")
 
 
 def _log_odds(p: Column) -> Column:
@@ -156,31 +164,59 @@ def _log_odds(p: Column) -> Column:
     return F.log(bound / (1 - bound))
 
 
-def measure(df: DataFrame, labels: DataFrame, threshold: float = 0.2, max_labelled: int = 5000, max_sites: int = 50_000, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """Adds ``__q`` (evidence, rates, prior, score, kept) to every row.
+def with_posterior(rows: DataFrame, threshold: float) -> DataFrame:
+    """Adds host_rate, path_rate (both without the row's own evidence ``p``), score and kept to rows with ``site_sums``."""
+    host = (F.col("hs") - F.col("p") + F.col("host_strength") * F.col("prior")) / (F.col("hn") - 1 + F.col("host_strength"))
+    path = (F.col("s") - F.col("p") + F.col("path_strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_strength"))
+    rated = rows.withColumn("host_rate", host).withColumn("path_rate", path)
+    odds = _log_odds(F.col("p")) + _log_odds(F.col("path_rate")) - _log_odds(F.col("prior"))
+    return rated.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("score") >= threshold)
 
-    Two scans score the texts, once to sum the sites and once to judge, rather than keeping or
-    shuffling texts between. Up to ``max_sites`` sites are broadcast; more are joined by a shuffle.
-    """
-    model = fit(df, labels, max_labelled, id_col, text)
-    host, path = host_and_path(source, lang)
-    scored = df.select(host.alias("host"), path.alias("path"), evidence(model, text).alias("p"))
-    sites = site_posteriors(scored).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_rate", "path_rate", "prior")
+
+def _local(sites: DataFrame, max_sites: int) -> DataFrame | None:
+    """The sites as a broadcast table if there are at most ``max_sites``."""
     rows = sites.limit(max_sites + 1).collect()
-    if len(rows) <= max_sites:
-        sites = F.broadcast(df.sparkSession.createDataFrame(rows, sites.schema))
-    joined = df.withColumns({"__host": host, "__path": path, "__e": evidence(model, text)}).join(sites, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
-    odds = _log_odds(F.col("__e")) + _log_odds(F.col("path_rate")) - _log_odds(F.col("prior"))
-    score = 1 / (1 + F.exp(-odds))
-    made = F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__e").alias("evidence"), "host_rate", "path_rate", "prior", score.alias("score"), (score >= threshold).alias("kept"))
-    return joined.select(*(F.col(c) for c in df.columns), made.alias("__q"))
+    return F.broadcast(sites.sparkSession.createDataFrame(rows, sites.schema)) if len(rows) <= max_sites else None
+
+
+def _judged(scored: DataFrame, max_sites: int, threshold: float) -> DataFrame:
+    """Rows of a written (host, path, p, ...) with their posterior; sites beyond ``max_sites`` by a join that spreads hot ones."""
+    sites = site_sums(scored)
+    local = _local(sites, max_sites)
+    if local is not None:
+        return with_posterior(scored.join(local, "path"), threshold)
+    sites = written(sites, "sites")
+    return with_posterior(join_spread(scored, sites, "path", sites.select("path", F.col("n").cast("long").alias("n"))), threshold)
+
 
+def judge(df: DataFrame, labels: DataFrame, threshold: float = 0.2, max_labelled: int = 5000, max_sites: int = 50_000, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """(id, host, path, evidence, host_rate, path_rate, prior, score, kept), one row per row of ``df``.
+
+    Texts are scored once, into a narrow table that the sites are summed from and judged in.
+    """
+    model = fit(df, labels, max_labelled, id_col, text)
+    keys = site_keys(F.col(source), F.col(lang))
+    scored = written(df.select(F.col(id_col).alias("id"), keys["host"].alias("host"), keys["path"].alias("path"), evidence(model, text_of(text)).alias("p")), "evidence")
+    return _judged(scored, max_sites, threshold).select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", "prior", "score", "kept")
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", **limits) -> DataFrame:
-    """(id, host, path, evidence, host_rate, path_rate, prior, score, kept), one row per row of ``df``."""
-    return measure(df.select(id_col, text, source, lang), labels, id_col=id_col, text=text, source=source, lang=lang, **limits).select(id_col, "__q.*")
 
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.2, max_labelled: int = 5000, max_sites: int = 50_000, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """The rows of ``df`` that the classifier keeps.
 
-def keep_good(df: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """The rows of ``df`` that the classifier keeps."""
-    return measure(df, labels, **limits).where("__q.kept").select(*df.columns)
+    Up to ``max_sites`` sites are broadcast, and texts are scored in two scans, for the sums and for the
+    verdicts, so nothing but sums is shuffled. With more sites, texts are scored once into a narrow table by a
+    digest of what a verdict depends on, and the rows whose digest is rejected there are left out.
+    """
+    model = fit(df, labels, max_labelled, id_col, text)
+    keys = site_keys(F.col(source), F.col(lang))
+    body = text_of(text)
+    sites = site_sums(df.select(keys["host"].alias("host"), keys["path"].alias("path"), evidence(model, body).alias("p")))
+    local = _local(sites, max_sites)
+    if local is not None:
+        rows = rows_of(df, path=keys["path"], body=body).select("row", "path", evidence(model, F.col("body")).alias("p"))
+        return unpacked(with_posterior(rows.join(local, "path"), threshold).where("kept"))
+    digest = F.sha2(F.concat(keys["path"], F.lit("\n"), body), 256)
+    scored = written(df.select(keys["host"].alias("host"), keys["path"].alias("path"), evidence(model, body).alias("p"), digest.alias("digest")), "evidence")
+    rejected = written(_judged(scored, max_sites, threshold).where("not kept").select("digest").distinct(), "rejected")
+    drop_written(scored)
+    return unpacked(rows_of(df, digest=digest).join(rejected, "digest", "left_anti"))

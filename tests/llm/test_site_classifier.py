@@ -1,6 +1,12 @@
+import json
+import math
+import string
+
+import numpy as np
 import pytest
 
 from snapdelta.llm import site_classifier as Q
+from tests.llm.conftest import AWKWARD, prose
 
 
 def test_held_out_accuracy(spark):
@@ -13,54 +19,129 @@ def test_held_out_accuracy(spark):
     assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+def plain_features(text):
+    """A character and a word at a time."""
+    raw = (text or "").encode()
+    words = [w for w in raw.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ").split(b" ") if w]
+    if not words:
+        return [0.0] * len(Q.FEATURES)
+    n, size, tail = len(words), len(raw), raw[3 * len(raw) // 4 :]
+    count = lambda data, wanted: sum(chr(b) in wanted for b in data)
+    kinds = (string.ascii_uppercase, string.digits, string.punctuation)
+    letters = set(string.ascii_letters.encode())
+    shouted = sum(w.isupper() for w in words)
+    unlettered = sum(not letters & set(w) and max(w) < 128 for w in words)
+    shape = [math.log(1 + n), len(set(words)) / n, max(words.count(w) for w in set(words)) / n, size / n / 10, math.log(1 + size / (1 + count(raw, "\n"))), count(raw, kinds[0]) / size, count(raw, kinds[1]) / size, sum(128 <= b < 192 for b in raw) / size, shouted / n, unlettered / n]
+    return shape + [count(raw, m) / size for m in string.punctuation] + [count(tail, k) / len(tail) - count(raw, k) / size for k in kinds]
+
+
+def test_features_equal_plain_ones():
+    for text in [*AWKWARD, prose(300, 1), prose(80, 2) + " !!! BUY $$$ NOW 100%\n" * 3]:
+        assert Q.features(text or "") == pytest.approx(plain_features(text))
+
+
+def level(rows, key):
+    out = {}
+    for r in rows:
+        n, s = out.get(key(r), (0, 0.0))
+        out[key(r)] = n + 1, s + r[2]
+    return out
+
+
+def strength(sites):
+    total = sum(n for n, _ in sites.values())
+    mean = sum(s for _, s in sites.values()) / total
+    spread = sum(n * (s / n) ** 2 for n, s in sites.values()) / total - mean**2
+    between = max(spread - mean * (1 - mean) * len(sites) / total, 1e-9)
+    return mean, min(max(mean * (1 - mean) / between, 5), 10000)
+
+
+def plain_scores(rows):
+    """(host_rate, path_rate, score) of each (host, path, p), from plain sums without the row itself."""
+    hosts, paths = level(rows, lambda r: r[0]), level(rows, lambda r: r[:2])
+    prior, hs = strength(hosts)
+    _, ps = strength(paths)
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = []
+    for host, path, p in rows:
+        n, s = hosts[host]
+        host_rate = (s - p + hs * prior) / (n - 1 + hs)
+        n, s = paths[host, path]
+        path_rate = (s - p + ps * host_rate) / (n - 1 + ps)
+        out.append((host_rate, path_rate, 1 / (1 + math.exp(-(odds(p) + odds(path_rate) - odds(prior))))))
+    return out
+
+
+def posteriors(spark, rows):
+    scored = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, host string, path string, p double")
+    return Q.with_posterior(scored.join(Q.site_sums(scored), "path"), 0.2).orderBy("k").collect()
+
+
+def test_posteriors_equal_plain_sums(spark):
+    rows = [(h, f"{h}|{k}", ((k * 7 + len(h)) % 10) / 10) for h in ("p", "qq", "rrr") for k in [1] * 9 + [2] * 4 + [3]] + [("s", "s|1", 0.4)]
+    for r, want in zip(posteriors(spark, rows), plain_scores(rows), strict=True):
+        assert (r.host_rate, r.path_rate, r.score) == pytest.approx(want, rel=1e-9) and r.kept == (want[2] >= 0.2)
+
+
 def test_sparse_sites_shrink_toward_their_parents(spark):
     rows = [("a", "a|x", 0.9)] * 400 + [("a", "a|y", 0.1)] + [("b", "b|x", 0.2)] * 400 + [("c", "c|x", 0.0)]
-    got = {r.path: r for r in Q.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    got = {r.path: r for r in posteriors(spark, rows)}
     prior = got["a|x"].prior
     assert prior == pytest.approx(sum(r[2] for r in rows) / len(rows))
     assert abs(got["a|x"].path_rate - 0.9) < 0.02 and abs(got["b|x"].path_rate - 0.2) < 0.02
-    assert got["a|y"].path_rate > 0.6  # one document doesn't make a bad path of a good host
-    assert 0.2 < got["c|x"].host_rate < prior
+    assert got["a|y"].path_rate > 0.8  # a document doesn't speak against itself by way of its path
+    assert got["c|x"].host_rate == pytest.approx(prior)  # nor has a host of one document anything to say
 
 
-def test_posteriors_equal_plain_sums(spark):
-    import math
-
-    rows = [(h, f"{h}|{k}", ((k * 7 + len(h)) % 10) / 10) for h in ("p", "qq", "rrr") for k in [1] * 9 + [2] * 4 + [3]]
-    got = {r.path: r for r in Q.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-
-    def level(key):
-        out = {}
-        for r in rows:
-            n, s = out.get(r[key], (0, 0.0))
-            out[r[key]] = n + 1, s + r[2]
-        return out
-
-    def strength(sites):
-        total = sum(n for n, _ in sites.values())
-        mean = sum(s for _, s in sites.values()) / total
-        spread = sum(n * (s / n) ** 2 for n, s in sites.values()) / total - mean**2
-        between = max(spread - mean * (1 - mean) * len(sites) / total, 1e-9)
-        return mean, min(max(mean * (1 - mean) / between, 5), 10000)
-
-    hosts, paths = level(0), level(1)
-    prior, hs = strength(hosts)
-    _, ps = strength(paths)
-    for path, (n, s) in paths.items():
-        hn, h = hosts[path.split("|")[0]]
-        host = (h + hs * prior) / (hn + hs)
-        assert math.isclose(got[path].host_rate, host, rel_tol=1e-9) and math.isclose(got[path].path_rate, (s + ps * host) / (n + ps), rel_tol=1e-9)
+def test_sites_decide(spark):
+    """The same texts go on a host of bad documents and stay on a host of good ones."""
+    junk = lambda k: " ".join(f"{w.upper()}!!! $$$ {i}%" for i, w in enumerate(prose(60, k).split()))
+    junky = lambda k, share: " ".join(f"{w.upper()}!!! $$$" if i * share % 1 + share >= 1 else w for i, w in enumerate(prose(100, k).split()))
+    rows = [(k, prose(100, k), "good.org/a", "en") for k in range(200)] + [(300 + k, junk(k), "bad.org/a", "en") for k in range(200)]
+    rows += [(600 + k, junky(k // 2, k // 2 / 45), ("good.org/a", "bad.org/a")[k % 2], "en") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in [*range(100), *range(300, 400)]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in Q.judge(docs, labels).where("doc_id >= 600").collect()}
+    assert len(got) == 80
+    unsure = [r for r in got.values() if 0.05 < r.evidence < 0.6]  # the text alone is no reason
+    assert len(unsure) >= 6, [round(r.evidence, 3) for r in list(got.values())[::2]]
+    decided = [(r.kept, "good" in r.host) for r in unsure]
+    assert sum(k == g for k, g in decided) >= 0.8 * len(decided) and len({k for k, _ in decided}) == 2
+    kept = {r.doc_id for r in Q.keep_good(docs, labels).collect()}
+    assert kept & set(got) == {i for i, r in got.items() if r.kept}
 
 
 def test_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(30)] + [(None, 1, 0), (101, 0, None), (5, None, None)], "doc_id long, quality int, toxic int")
     got = Q.judge(docs, labels)
     assert got.count() == docs.count() and got.where("kept is null or score is null").count() == 0
-    kept = Q.keep_good(docs, labels)
-    assert kept.columns == docs.columns
+    key = lambda rows: sorted((str(r.doc_id), round(r.score, 9)) for r in rows)
+    texts = sorted((str(r.doc_id), str(r.lang), r.kept) for r in Q.keep_good(docs, labels, threshold=0.6).collect())
+    for sites in (1, 50_000):  # more sites than are broadcast, or fewer
+        many = Q.judge(docs, labels, max_sites=sites, threshold=0.6)
+        assert key(many.collect()) == key(got.collect())
+        kept = Q.keep_good(docs, labels, max_sites=sites, threshold=0.6)
+        assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+        assert sorted((str(r.doc_id), str(r.lang), r.kept) for r in kept.collect()) == texts
+        assert sorted(str(r.doc_id) for r in many.where("kept").collect()) == [t[0] for t in texts]
     none = Q.judge(docs, labels.limit(0))
     assert none.where("not kept").count() == 0 and {r.evidence for r in none.collect()} == {0.5}
-    assert Q.judge(docs.limit(0), labels).count() == 0
-    many = Q.judge(docs, labels, max_sites=1)  # the shuffled join of more sites than are broadcast
-    key = lambda rows: sorted((str(r.doc_id), round(r.score, 9)) for r in rows)
-    assert key(many.collect()) == key(got.collect())
+    assert Q.judge(docs.limit(0), labels).count() == 0 and Q.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_null_and_empty_sites_and_clashing_names(spark):
+    rows = [(k, prose(40, k), [None, "", "a/b"][k % 3], [None, ""][k // 3 % 2], 1, 2, "x") for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, row int, p int, path string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id long, quality int")
+    paths = {r.path for r in Q.judge(docs, labels).collect()}
+    assert paths == {json.dumps({k: v for k, v in (("source", s), ("lang", x)) if v is not None}, separators=(",", ":")) for s in (None, "", "a/b") for x in (None, "")}
+    kept = Q.keep_good(docs, labels, threshold=0.0)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_training():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, len(Q.FEATURES)))
+    assert Q.train(x, np.ones(400)) is Q.EVEN
+    good = (x[:, 0] + 0.2 * rng.normal(size=400) > 0).astype(float)
+    assert ((Q.train(x, good).probability(x) > 0.5) == good).mean() > 0.9
