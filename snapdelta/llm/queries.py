@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators are tested against brute force, exact round trips or held-out labels in tests/llm."""
-    return {"op3_chat_rotation": chat_rotation.ORACLE, "op8_warc": warc_source.ORACLE}
+    return {"op3_chat_rotation": chat_rotation.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op8_warc": warc_source.ORACLE}

@@ -2,6 +2,10 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
+import pytest
+
 from snapdelta.llm import quality_rules as Q
 from tests.llm.conftest import prose
 
@@ -34,7 +38,7 @@ def test_common_words_are_those_of_all_lengths(spark, docs):
     for texts in (df, docs):
         sums = {}
         for r in texts.collect():
-            sums.setdefault(r.lang or "", Counter()).update(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sums.setdefault(r.lang, Counter()).update(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
         got = {r.language: r for r in Q.references(texts).collect()}
         assert set(got) == set(sums)
         for language, n in sums.items():
@@ -78,3 +82,39 @@ def test_labelled_documents(spark):
 def test_main_path_is_native(spark, docs):
     plan = Q.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def rows_by_sql(df):
+    con = duckdb.connect()
+    view = pa.table({"doc_id": pa.array([r.doc_id for r in df.collect()], pa.int64()), "text": pa.array([r.text for r in df.collect()], pa.string()), "lang": pa.array([r.lang for r in df.collect()], pa.string())})
+    con.register("documents", view)
+    out = con.sql(Q.oracle())
+    return sorted((tuple(r[out.columns.index(c)] for c in COLUMNS) for r in out.fetchall()), key=str)
+
+
+COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+
+
+@pytest.mark.parametrize("most_languages", [1, 10_000])
+def test_sql_gives_the_same(spark, docs, most_languages):
+    """Counts, references, distances and verdicts; with references that are broadcast and that aren't."""
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (docs.select("doc_id", "text", "lang"), files):
+        got = sorted((tuple(r) for r in Q.judge(df, most_languages=most_languages).select(*COLUMNS).collect()), key=str)
+        assert got == rows_by_sql(df)
+        assert len({r[7] for r in got}) == 2 and sum(r[8] is not None for r in got) > 10 and sum(r[9] is not None for r in got) > 10
+
+
+def test_null_and_empty_languages_and_clashing_names(spark):
+    rows = [(k, prose(80, k) if k % 3 else "zu zu zu zi zo " * 30, [None, "", "en"][k % 3], "w", 1, 2) for k in range(18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __words string, row int, m int")
+    assert {r.language for r in Q.references(df).collect()} == {None, "", "en"}
+    kept = Q.keep_good(df)
+    assert kept.columns == df.columns
+    want = {r.doc_id for r in Q.judge(df).collect() if r.kept}
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in want) and 0 < len(want) < len(rows)
+
+
+def test_a_filter_measures_texts_once(spark, docs):
+    trims = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("trim(")
+    assert trims(Q.keep_good(docs)) == trims(Q.judge(docs))
