@@ -1,12 +1,17 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features.
 
 The rules label the URLs that they fit, and the trees learn from a bounded sample of those to judge
-the rest. Features, rules and tree scores are all native columns; only the fit of the trees runs on
-the driver, over at most ``max_labelled`` feature rows.
+the rest. Besides counts and ratios of characters, the features are the shares of blocked URLs among the
+labelled ones with the same suffix, first host label or first path segment (``STATISTICS``); a value that
+few labelled URLs have has the even share. Features, rules and tree scores are all native columns; only
+the fit of the trees runs on the driver, over at most ``max_labelled`` feature rows.
 
 Defined cases: a null URL or one without "://" has empty host and path, so no rule fits and the
-trees judge its other features. Without labelled URLs, or with labels of one kind only, every
-remaining verdict is that kind's (``allow`` where there is none). Equal URLs get equal verdicts.
+trees judge its other features; a null URL is judged as an empty one. Without labelled URLs, or with
+labels of one kind only, every remaining verdict is that kind's (``allow`` where there is none). Equal
+URLs get equal verdicts, and count once in the fit; URLs of any length are looked at whole. Rows are
+judged one by one, with null and repeated ids too. Only id and url are looked at, so names of other
+columns can't clash. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +25,13 @@ from pyspark.sql import functions as F
 from snapdelta.llm.common import bounded_sample, let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The share of blocked URLs where nothing is known, as both verdicts weigh the same.
+EVEN = 0.5
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "longest_label", "path_length", "suffix_rate", "suffix2_rate"]
+LEXICAL = ["length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "longest_label", "path_length"]
+#: Values whose share of blocked URLs is a feature.
+STATISTICS = ["suffix", "suffix2", "label", "segment", "suffix_segment"]
+FEATURES = [*LEXICAL, *STATISTICS]
 
 
 @dataclass(frozen=True)
@@ -63,7 +73,7 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``__f`` (the lexical features in order, without the suffix rates), ``__suffix`` and ``__suffix2``."""
+    """Adds ``__f`` (the lexical features in order) and ``__s`` (the values of ``STATISTICS`` in order)."""
     text = F.coalesce(F.col(url), F.lit(""))
     labels = F.split("host", r"\.")
     count = lambda column, wanted: F.length(column) - F.length(F.regexp_replace(column, wanted, ""))
@@ -73,7 +83,11 @@ def with_features(df: DataFrame, url: str = "url") -> DataFrame:
         F.size(F.filter(F.split(F.regexp_replace("__query", r"^\?", ""), "&"), lambda s: s != "")),
         F.length("host"), F.size(labels), count(F.col("host"), "-"), F.array_max(F.transform(labels, F.length)), F.length("path"),
     ]
-    return df.withColumns({"__f": F.array(*(v.cast("double") for v in values)), "__suffix": F.substring_index("host", ".", -1), "__suffix2": F.substring_index("host", ".", -2)})
+    suffix, segment = F.substring_index("host", ".", -1), F.substring_index(F.substring("path", 2, 2**31 - 1), "/", 1)
+    # a file or a number in the first place is no section of a site
+    segment = F.when(segment.rlike(r"[.0-9]") | (F.length(segment) > 40), "").otherwise(segment)
+    named = [suffix, F.substring_index("host", ".", -2), F.substring_index("host", ".", 1), segment, F.concat_ws("/", suffix, segment)]
+    return df.withColumns({"__f": F.array(*(v.cast("double") for v in values)), "__s": F.array(*named)})
 
 
 @dataclass
@@ -121,56 +135,68 @@ def _grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int,
 
 @dataclass
 class Model:
-    """Log-odds of ``block``: the base plus the trees' sum. Suffixes outside the labelled ones have the overall rate."""
+    """Log-odds of ``block``: the trees' sum. ``rates`` has for each of ``STATISTICS`` the shares by value."""
 
     base: float
-    overall: float
-    suffix: dict[str, float]
-    suffix2: dict[str, float]
+    rates: list[dict[str, float]]
     trees: list[Tree]
 
-    def score(self, df: DataFrame) -> Column:
-        rate = lambda table, column: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), column), F.lit(self.overall)) if table else F.lit(self.overall)
+    def matrix(self, rows: list) -> np.ndarray:
+        """Feature rows of (__f, __s), as ``score`` has them."""
+        return np.array([[*r["__f"], *(t.get(v, EVEN) for t, v in zip(self.rates, r["__s"], strict=True))] for r in rows])
+
+    def score(self, df: DataFrame) -> DataFrame:
+        def rate(table: dict[str, float], value: Column) -> Column:
+            return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), value), F.lit(EVEN)) if table else F.lit(EVEN)
+
         names = [f"__v{i}" for i in range(len(FEATURES))]
-        values = [*(F.col("__f")[i] for i in range(len(FEATURES) - 2)), rate(self.suffix, F.col("__suffix")), rate(self.suffix2, F.col("__suffix2"))]
+        values = [*(F.col("__f")[i] for i in range(len(LEXICAL))), *(rate(t, F.col("__s")[i]) for i, t in enumerate(self.rates))]
         return df.withColumns(dict(zip(names, values, strict=True))).withColumn("score", F.expr(" + ".join([f"{self.base!r}D", *(f"({t.sql(names)})" for t in self.trees)]))).drop(*names)
 
 
-def fit(labelled: DataFrame, max_labelled: int = 8192, trees: int = 30, depth: int = 3, least: int = 10, rate: float = 0.3, smoothing: float = 10.0) -> Model:
+def _sample(labelled: DataFrame, limit: int) -> list:
+    """Rows of at most ``limit`` distinct URLs, those with the smallest hashes.
+
+    URLs whose hash is far beyond what is needed are left out before the rest is told apart.
+    """
+    n = labelled.agg(F.approx_count_distinct("url")).first()[0]
+    if n > 4 * limit:
+        labelled = labelled.where(F.xxhash64("url") < int(-(2**63) + 2**64 * (3 * limit / n)))
+    return bounded_sample(labelled.select("url", "label", "__f", "__s").dropDuplicates(["url"]), "url", limit).collect()
+
+
+def fit(labelled: DataFrame, max_labelled: int = 8192, trees: int = 40, depth: int = 4, least: int = 10, rate: float = 0.3, smoothing: float = 10.0) -> Model:
     """Fits on at most ``max_labelled`` distinct URLs (those with the smallest hashes) with their rule's verdict."""
-    urls = labelled.select("url", "label", "__f", "__suffix", "__suffix2").dropDuplicates(["url"])
-    rows = bounded_sample(urls, "url", max_labelled).collect()
+    rows = _sample(labelled, max_labelled)
     y = np.array([r["label"] == "block" for r in rows], float)
     if len(set(y.tolist())) < 2:
-        return Model(10.0 if len(y) and y[0] else -10.0, 0.5, {}, {}, [])
+        return Model(10.0 if len(y) and y[0] else -10.0, [{} for _ in STATISTICS], [])
     weight = 0.5 / np.where(y == 1, y.mean(), 1 - y.mean())  # both verdicts weigh the same, however many rules give them
-    overall = 0.5
 
-    def rates(column: str) -> dict[str, float]:
+    def rates(k: int) -> dict[str, float]:
         n, s = {}, {}
         for r, label, w in zip(rows, y, weight, strict=True):
-            n[r[column]] = n.get(r[column], 0.0) + w
-            s[r[column]] = s.get(r[column], 0.0) + w * label
-        # only suffixes that have been seen often, so fewer than max_labelled / smoothing of them
-        return {k: (s[k] + smoothing * overall) / (n[k] + smoothing) for k in sorted(n) if n[k] >= smoothing}
-
-    suffix, suffix2 = rates("__suffix"), rates("__suffix2")
-    x = np.array([[*r["__f"], suffix.get(r["__suffix"], overall), suffix2.get(r["__suffix2"], overall)] for r in rows])
-    base = 0.0
-    total, grown = np.full(len(y), base), []
+            value = r["__s"][k]
+            n[value] = n.get(value, 0.0) + w
+            s[value] = s.get(value, 0.0) + w * label
+        # only values that have been seen often, so fewer than max_labelled / smoothing of them
+        return {v: (s[v] + smoothing * EVEN) / (n[v] + smoothing) for v in sorted(n) if n[v] >= smoothing}
+
+    model = Model(0.0, [rates(k) for k in range(len(STATISTICS))], [])
+    x, total = model.matrix(rows), np.zeros(len(y))
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
         tree = _grow(x, weight * (y - p), weight * p * (1 - p), depth, least, rate)
-        grown.append(tree)
+        model.trees.append(tree)
         total += tree.predict(x)
-    return Model(base, overall, suffix, suffix2, grown)
+    return model
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url: str = "url", max_labelled: int = 8192) -> DataFrame:
     """(id, host, path, rule, verdict, score): the rule's verdict, else ``block`` where the trees' log-odds are positive."""
     name, verdict = rule_of(rules)
-    seen = with_features(with_parts(pages.select(id_col, F.col(url).alias("url"))))
+    seen = with_features(with_parts(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"))))
     seen = seen.withColumns({"rule": name, "label": verdict})
     model = fit(seen.where("label is not null and url is not null"), max_labelled)
     scored = model.score(seen)
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("label", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("label", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
