@@ -1,20 +1,26 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most three bits differ in at most three of their eight
-bytes, so they share at least five (position, byte) entries. The inverted index is addressed by
-four entries at once: the fourteen position quadruples a^b^c^d = 0 of {0..7} (the Steiner system
-S(3,4,8), which holds its own complements) leave, for any three spoilt positions, one quadruple
-untouched. So every linked pair meets in some posting list, and a list of random fingerprints has
-N / 2^32 entries instead of the N / 256 of single bytes, which would pair up everything. For the
-pairs that meet, the shared positional bytes are tallied, pairs with fewer than five are left out,
-and the rest is verified bit by bit.
+bytes, so they share at least five (position, byte) entries. Posting lists of single entries hold N / 256
+fingerprints each and would pair up everything, so the index is addressed by four entries at once: the
+fourteen position quadruples a^b^c^d = 0 of {0..7} (the Steiner system S(3,4,8), which holds its own
+complements) leave, for any three spoilt positions, one quadruple untouched. So every linked pair
+meets in some posting list, and a list of random fingerprints has N / 2^32 entries.
+
+The entries that address a list are four hits of each of its pairs. The hits in the entries of the
+other four positions are tallied pair by pair (``tally``), pairs that don't reach the five that
+three spoilt bytes guarantee are left out, and only the rest is verified bit by bit. The count filter
+loses nothing, so the verified links are the same without it; it spares the verification of pairs that
+meet by four common bytes alone.
 
 Equal fingerprints are one node from the start, so groups of copies never become pairs. A posting
 list returns a spanning forest of its links (member, smallest member), never all pairs; a list
 longer than ``block`` is cut into blocks that are compared two at a time in tasks of their own.
 
-Null text is empty text; a text without words has fingerprint zero and is linked like any other.
-Rows with a null id get a component as well: the smallest id that is not null, or null.
+Defined cases: null text is empty text; a text without words has fingerprint zero and is linked like any
+other; texts of any length are hashed whole. Rows count each, with repeated ids too, and rows with a null
+id get a component as well: the smallest id that is not null, or null. Other columns are carried as one
+struct, so their names can't clash. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import text_of, written
+from snapdelta.llm.common import drop_written, join_spread, rows_of, text_of, unpacked, written
 from snapdelta.llm.components import connected_components
 
 POSITIONS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
@@ -60,12 +66,15 @@ def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp") -> Dat
     return df.withColumn(into, run(text_of(text)))
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many (position, byte) entries each pair of uint64 shares."""
+    return ((a ^ b).reshape(-1, 1).view(np.uint8) == 0).sum(axis=1)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter, then the exact check, of pairs of uint64."""
-    differ = a ^ b
-    shared = (differ.reshape(-1, 1).view(np.uint8) == 0).sum(axis=1)
-    out = shared >= MIN_SHARED
-    out[out] = np.bitwise_count(differ[out]) <= MAX_BITS
+    """Count filter, then the exact check of the pairs that it retains."""
+    out = tally(a, b) >= MIN_SHARED
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= MAX_BITS
     return out
 
 
@@ -149,40 +158,49 @@ def links(nodes: DataFrame, block: int = 4096) -> DataFrame:
         for number, q in enumerate(POSITIONS)
     ]
     postings = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot = postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / (block // 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    hot = written(postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-hot")
+    parts = F.ceil(F.col("n") / (block // 2)).cast("int").alias("parts")
     dealt = (
-        postings.join(hot, "key", "left")
+        join_spread(postings, hot.select("key", parts), "key", hot, "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", part)
-        .withColumn("other", other)
+        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("fp", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )
-    return dealt.mapInPandas(_forest, "u long, v long").distinct()
+    edges = written(dealt.mapInPandas(_forest, "u long, v long").distinct(), "simhash-links")
+    drop_written(hot)
+    return edges
 
 
 def _rooted(fingerprinted: DataFrame, id_col: str) -> DataFrame:
-    """(fp, low_id, root): each distinct fingerprint with its smallest id and what names its group."""
-    nodes = written(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("low_id")), "simhash-nodes")
-    roots = connected_components(links(nodes))
-    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
+    """(fp, low_id, n, root), written: each distinct fingerprint with its smallest id, its rows and what names its group."""
+    nodes = written(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("low_id"), F.count("*").alias("n")), "simhash-nodes")
+    edges = links(nodes)
+    roots = connected_components(edges, "simhash")
+    found = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low_id", "n", F.coalesce("root", "fp").alias("root"))
+    out = written(found, "simhash-rooted")
+    drop_written(nodes, edges, roots)
+    return out
 
 
 def components(fingerprinted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component): for each distinct fingerprint the smallest id that it reaches by links."""
+    """(fp, n, component), written: for each distinct fingerprint its rows and the smallest id that it reaches by links."""
     rooted = _rooted(fingerprinted, id_col)
-    smallest = rooted.groupBy("root").agg(F.min("low_id").alias("component"))
-    return rooted.join(smallest, "root").select("fp", "component")
+    smallest = rooted.groupBy("root").agg(F.min("low_id").alias("component"), F.count("*").alias("members"))
+    found = join_spread(rooted.select("fp", "n", "root"), smallest.select("root", "component"), "root", smallest.select("root", F.col("members").alias("n")))
+    out = written(found.select("fp", "n", "component"), "simhash-components")
+    drop_written(rooted)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id), one row per row of ``df``."""
-    prints = written(with_fingerprint(df.select(id_col, text), text, "fp").select(id_col, "fp"), "simhash-fingerprints")
-    found = components(prints, id_col)
-    return prints.join(found, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    prints = written(with_fingerprint(df.select(F.col(id_col).alias("id"), text_of(text).alias("text")), "text", "fp").select("id", "fp"), "simhash-fingerprints")
+    found = components(prints, "id")
+    joined = join_spread(prints, found.drop("n"), "fp", found.select("fp", "n"))
+    return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,13 +211,17 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     compared; whole rows are dealt by their id. Fingerprints are computed again where an id
     has several of them or is null.
     """
-    prints = written(with_fingerprint(df.select(id_col, text), text, "fp").select(F.col(id_col).alias("__id"), "fp"), "simhash-fingerprints")
+    prints = written(with_fingerprint(df.select(F.col(id_col).alias("id"), text_of(text).alias("text")), "text", "fp").select("id", "fp"), "simhash-fingerprints")
     lowest = F.min(F.struct(F.col("low_id").isNull(), "low_id", "fp")).alias("first")
-    chosen = _rooted(prints, "__id").groupBy("root").agg(lowest).select(F.col("first.low_id").alias("__low"), F.col("first.fp").alias("__print"))
-    several = prints.where("__id is not null").groupBy("__id").agg((F.min("fp") != F.max("fp")).alias("__several")).where("__several")
-    survivors = written(chosen.join(several, F.col("__low") == F.col("__id"), "left").select("__low", "__print", F.coalesce("__several", F.col("__low").isNull()).alias("__several")), "simhash-survivors")
-    plain, others = survivors.where("not __several"), survivors.where("__several")
-    kept = df.join(plain, F.col(id_col) == F.col("__low"), "left_semi").dropDuplicates([id_col])
-    unsure = df.where(F.col(id_col).isNull()).unionByName(df.join(others, F.col(id_col) == F.col("__low"), "left_semi"))
-    found = with_fingerprint(unsure, text, "__fp").join(others, (F.col("__fp") == F.col("__print")) & F.col(id_col).eqNullSafe(F.col("__low")), "left_semi")
-    return kept.unionByName(found.dropDuplicates([id_col, "__fp"]).drop("__fp"))
+    rooted = _rooted(prints, "id")
+    chosen = rooted.groupBy("root").agg(lowest).select(F.col("first.low_id").alias("low"), F.col("first.fp").alias("print"))
+    several = prints.where("id is not null").groupBy("id").agg((F.min("fp") != F.max("fp")).alias("several")).where("several")
+    survivors = written(chosen.join(several, F.col("low") == F.col("id"), "left").select("low", "print", F.coalesce("several", F.col("low").isNull()).alias("several")), "simhash-survivors")
+    drop_written(prints, rooted)
+    plain, others = survivors.where("not several"), survivors.where("several")
+    rows = rows_of(df, id=F.col(id_col))
+    kept = rows.join(plain, F.col("id") == F.col("low"), "left_semi").dropDuplicates(["id"])
+    unsure = rows.where(F.col("id").isNull()).unionByName(rows.join(others, F.col("id") == F.col("low"), "left_semi"))
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    found = with_fingerprint(unsure.withColumn("body", body), "body", "fp").join(others, (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("low")), "left_semi")
+    return unpacked(kept.unionByName(found.dropDuplicates(["id", "fp"]).select("row", "id")))

@@ -139,3 +139,27 @@ def test_component_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert roots == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_the_count_filter_loses_no_link():
+    """Every pair within three bits shares five entries; the filter spares pairs that share four alone."""
+    fps = np.array(cloud(400, 9), np.uint64)
+    a, b = (x.ravel() for x in np.meshgrid(fps, fps))
+    plain = np.array([sum(x >> 8 * k & 255 == y >> 8 * k & 255 for k in range(8)) for x, y in zip(a.tolist()[:5000], b.tolist()[:5000])])
+    assert (H.tally(a, b)[:5000] == plain).all()
+    near = np.array([(x ^ y).bit_count() <= 3 for x, y in zip(a.tolist(), b.tolist())])
+    assert (H.linked(a, b) == near).all() and (H.tally(a, b)[near] >= 5).all() and (H.tally(a, b)[~near] < 5).any()
+
+
+def test_clashing_names(spark):
+    rows = [(k, prose(60, k // 2), "a", 1, 2, 3, 4) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, fp int, low int, row int, several int")
+    kept = H.keep_one_per_group(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == rows[::2]
+    assert {r.component_id for r in H.near_duplicates(df).collect()} == {0, 2, 4, 6, 8}
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([(f"k{k}", prose(60, k // 2)) for k in range(6)], "doc_id string, text string")
+    assert sorted(r.component_id for r in H.near_duplicates(df).collect()) == ["k0", "k0", "k2", "k2", "k4", "k4"]
+    assert sorted(r.doc_id for r in H.keep_one_per_group(df).collect()) == ["k0", "k2", "k4"]
