@@ -23,7 +23,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+    rendered = chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+    return rendered.withColumn("masks", chat_rotation.spans(rendered.masks))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
