@@ -5,8 +5,13 @@ double-array trie), and every normalised byte remembers the source byte it came
 then only segments the normalised text (with a copy of the model whose own normaliser is switched
 off), and each piece is projected to its byte span in the source through the recorded alignment.
 
-Null text counts as empty: no piece but the end id. Spans are byte offsets into the UTF-8 source;
-a byte-fallback piece other than the last of its character has an empty span.
+Spans are byte offsets into the UTF-8 source; a byte-fallback piece other than the last of its
+character has an empty span.
+
+Defined cases: null text counts as empty: no piece but the end id. Texts of any length are encoded
+whole, and text that reads like a control piece ("<s>") is text. Rows are encoded one by one, with null and
+repeated ids too, and what ``keep`` names stays beside them as it is; a kept column named like an
+output is an error that says so. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -109,6 +114,23 @@ class Codec:
                 free = at + match[0]
         return out
 
+    @staticmethod
+    def _begin(source: bytes, units: list[tuple[int, int, bytes]]) -> int:
+        """Where the text begins after spaces, and after what the map makes into one space."""
+        at, rest = 0, iter(units)
+        unit = next(rest, None)
+        while at < len(source):
+            if unit and unit[0] == at:
+                if unit[2] != b" ":
+                    break
+                at += unit[1]
+                unit = next(rest, None)
+            elif source[at] == _SPACE:
+                at += 1
+            else:
+                break
+        return at
+
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the source byte where it begins."""
         source = text.encode()
@@ -135,16 +157,22 @@ class Codec:
             keep = ~(space & heading & after_space)
             raw, origin = raw[keep], origin[keep]
             end = len(raw)
-            while end and raw[end - 1] == _SPACE:
-                end -= 1
+            while end:
+                # the library tells spaces at the end by how they are written in the end, so a literal mark counts
+                if raw[end - 1] == _SPACE:
+                    end -= 1
+                elif self.escape and raw[end - 3 : end].tobytes() == _MARK:
+                    end -= 3
+                else:
+                    break
                 last = int(origin[end])
             raw, origin = raw[:end], origin[:end]
-        if not len(raw):
+        if not len(raw) and (self.collapse or not source):
             return b"", np.array([last], np.int64)
         ahead = self.prefix and not self.suffix
         behind = self.prefix and self.suffix
         raw = np.concatenate([[_SPACE] * ahead, raw, [_SPACE] * behind]).astype(np.uint8)
-        first = int(origin[0]) if self.collapse else 0
+        first = self._begin(source, units) if self.collapse else 0
         origin = np.concatenate([[first] * ahead, origin, [last] * behind, [last]]).astype(np.int64)
         if self.escape and (space := raw == _SPACE).any():
             # spaces that the dummy prefix or the source brought become three-byte marks

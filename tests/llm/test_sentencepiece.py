@@ -103,3 +103,45 @@ def test_transcode(spark):
 def test_empty_normalised_text():
     assert S.codec(MODEL).normalise("")[1].tolist() == [0]
     assert np.array_equal(S.codec(MODEL).encode("")[1], [])
+
+
+WIDE = ["ＫＡＤＯＫＡＷＡ　ＡＢＣ ①② ﬁ ㍿ Ｈ", "e\u0301 A\u030a \u1e9b\u0323 ½ ²", "ｶﾞｷﾞ ﷺ Ǆ ﬀﬃ", "tab\tnl\n\u200b\ufeff x\u00a0y", "STRASSE ẞ İ ǅ", "\u0344 a\u0344b 각 각"]
+
+
+@pytest.fixture(scope="module", params=[(rule, collapse) for rule in ("nfkc", "nmt_nfkc", "nmt_nfkc_cf") for collapse in (True, False)], ids=str)
+def mapped(request, tmp_path_factory):
+    """The public model with the library's own compiled character map of a rule; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rule, collapse = request.param
+    made = proto.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    with open(MODEL, "rb") as f:
+        model = proto.ModelProto.FromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = made.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = collapse
+    path = str(tmp_path_factory.mktemp("map") / f"{rule}-{collapse}.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return path, sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def agree(mapped, text):
+    path, tool = mapped
+    got, begins, ends = S.codec(path).encode(text)
+    want = tool.encode(text, return_type="proto").pieces
+    assert got == [p.id for p in want], text
+    raw = text.encode()
+    assert [raw[b:e].decode() for b, e in zip(begins, ends, strict=True)] == [p.surface for p in want], text
+    assert S.codec(path).normalise(text)[0].decode() == tool.normalize(text), text
+
+
+@pytest.mark.parametrize("text", WIDE + TEXTS[:7])
+def test_real_character_maps(mapped, text):
+    assert len(S.codec(mapped[0]).map.units) > 10_000
+    agree(mapped, text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from("ａＢ①ﬁ é\u0301\u030a Ａ　½ｶﾞ각 \t\nßİ x"), max_size=30) | st.text(max_size=30))
+def test_any_text_under_a_real_map(mapped, text):
+    agree(mapped, text)
