@@ -28,7 +28,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from snapdelta.operators.filters import is_empty
     from snapdelta.operators.near_dup import near_dup_join, with_signature
-    from snapdelta.operators.scoring import contenders, score_features, score_pairs
+    from snapdelta.operators.scoring import score_contenders, score_features
     from snapdelta.plans.diff import Diff
     from snapdelta.plans.queries import QUERIES
     from snapdelta.sources.corpus import load
@@ -52,7 +52,7 @@ def main() -> None:
     pairs.count()
     a, b = (score_features(side(live, s)).persist() for s in "ab")
     a.count(), b.count()
-    timed("scoring_best", score_pairs(contenders(pairs, a, b), a, b))
+    timed("scoring_best", score_contenders(pairs, a, b))
     spark.catalog.clearCache()
     for name in ("scan_classes", "fnv1a32", "best_match"):
         timed(name, QUERIES[name](spark, sf_dir))

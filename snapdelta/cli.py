@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from snapdelta.config import DiffConfig
 from snapdelta.plans.diff import Diff
-from snapdelta.sources.sinks import run_folder, write_html, write_results
+from snapdelta.sources.sinks import run_folder, write_html, write_phases, write_results
 from snapdelta.sources.tables import exclusion_entries, read_exclusions, read_snapshots
 
 
@@ -28,26 +28,22 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-#: An exclusion file longer than this is no list of packages.
-MAX_EXCLUSIONS = 10_000
-
-
 def main(argv: list[str] | None = None) -> str:
     options = parser().parse_args(argv)
     spark = SparkSession.builder.appName("snapdelta").getOrCreate()
-    entries = exclusion_entries(options.excpkgs)
-    if options.file:
-        rows = read_exclusions(spark, options.file).limit(MAX_EXCLUSIONS + 1).collect()
-        if len(rows) > MAX_EXCLUSIONS:
-            raise SystemExit(f"more than {MAX_EXCLUSIONS} exclusions")
-        entries += tuple(r["value"] for r in rows)
-    config = DiffConfig(entries, options.distance, options.threshold, options.obfuscated)
-    diff, folder, began = Diff(read_snapshots(spark, options.first, options.second, options.format), config), run_folder(options.output), time.time()
+    config = DiffConfig(exclusion_entries(options.excpkgs), options.distance, options.threshold, options.obfuscated)
+    excluded = read_exclusions(spark, options.file) if options.file else None
+    diff, folder = Diff(read_snapshots(spark, options.first, options.second, options.format), config, excluded), run_folder(options.output)
+    took, began = diff.phases(), time.perf_counter()
     write_results(diff, folder)
     if options.html:
         write_html(diff, f"{folder}/html")
+    took["results"] = (time.perf_counter() - began, diff.status().count())
+    write_phases(spark, took, folder)
     diff.release()
-    print(f"{folder}: done in {time.time() - began:.1f} s")
+    for name, (seconds, rows) in took.items():
+        print(f"{name}: {seconds:.3f} s, {rows} rows")
+    print(f"{folder}: done in {sum(s for s, _ in took.values()):.1f} s")
     return folder
 
 

@@ -37,18 +37,21 @@ def simhash32_rows(features: DataFrame, keys: list[str], feature: str = "feature
     return hashed.groupBy(*keys).agg(packed.alias("simhash"))
 
 
-def simhash32_py(bag, known: dict[str, int]) -> int:
+def simhash32_py(bag, known: dict[str, int], hash_fn=fnv1a32_py) -> int:
     if not len(bag):
         return 0
     for f in set(bag).difference(known):
-        known[f] = fnv1a32_py(f)
+        known[f] = hash_fn(f)
     hashes = np.fromiter(map(known.__getitem__, bag), ">u4", len(bag))
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 4), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(bag)).tobytes(), "big")
 
 
-def simhash32(bag: Column, remember: int = 500_000) -> Column:
-    """SimHash of an array of strings, in Arrow batches: nothing is exploded or shuffled. Null and empty bags give 0."""
+def simhash32(bag: Column, hash_fn=fnv1a32_py, remember: int = 500_000) -> Column:
+    """SimHash of an array of strings, in Arrow batches: nothing is exploded or shuffled. Null and empty bags give 0.
+
+    ``hash_fn`` gives a text's unsigned 32-bit hash.
+    """
 
     @F.pandas_udf("bigint")
     def run(column: pd.Series) -> pd.Series:
@@ -57,7 +60,22 @@ def simhash32(bag: Column, remember: int = 500_000) -> Column:
         for b in column:
             if len(known) > remember:
                 known.clear()
-            out.append(simhash32_py(b if b is not None else (), known))
+            out.append(simhash32_py(b if b is not None else (), known, hash_fn))
         return pd.Series(out, index=column.index, dtype="int64")
 
     return run(bag)
+
+
+def simhash32_numbered(numbers: Column, names: list[str], hash_fn=fnv1a32_py) -> Column:
+    """SimHash of an array of numbers that stand for ``names``: they are counted, so that long arrays cost little."""
+
+    @F.pandas_udf("bigint")
+    def run(column: pd.Series) -> pd.Series:
+        bits = np.unpackbits(np.array([hash_fn(n) for n in names], ">u4").view(np.uint8).reshape(-1, 4), axis=1).astype(np.int64)
+        out = []
+        for b in column:
+            weights = np.bincount(b, minlength=len(names)) if b is not None and len(b) else np.zeros(len(names), np.int64)
+            out.append(int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big"))
+        return pd.Series(out, index=column.index, dtype="int64")
+
+    return run(numbers)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,59 @@ def code_sequence(methods: Column) -> Column:
     return F.when(short == "", "0").otherwise(short)
 
 
+def bit_distance(a: str, b: str) -> int:
+    """Edit distance of two strings of bits, 64 cells of the table and more at once (Myers 1999, as Hyyro has it for whole strings).
+
+    What both begin and end with is left out first; a column of the table is two whole numbers, whose
+    bits tell where the values rise and fall.
+    """
+    if a == b:
+        return 0
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the length of the common beginning
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
+    a, b = a[: len(a) - low], b[: len(b) - low]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    width = len(b)
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    ones = int(b[::-1], 2)
+    places = {"0": full ^ ones, "1": ones}
+    rise, fall, distance = full, 0, width
+    for c in a:
+        same = places[c]
+        down = same | fall
+        across = (((same & rise) + rise) ^ rise) | same
+        up = fall | full & ~(across | rise)
+        less = rise & across
+        if up & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        up, less = up << 1 & full | 1, less << 1 & full
+        rise = less | full & ~(down | up)
+        fall = up & down
+    return distance
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance of strings of bits, in Arrow batches; the built-in one takes a second for 10,000 bits."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([bit_distance(p, q) for p, q in zip(x, y, strict=True)], index=x.index, dtype="int32")
+
+    return run(a, b)
+
+
 def code_score(distance: Column) -> Column:
     return F.when(distance == 0, 0.15).otherwise(0.12 / F.sqrt(distance))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from snapdelta.functions.families import family_name
+from snapdelta.functions.families import family_name, family_value
 from snapdelta.schema import ROOT
 
 
@@ -73,9 +73,24 @@ def method_features() -> Column:
     return F.flatten(F.transform(members("methods", "analysed"), one))
 
 
-def code_features() -> Column:
+def _coded(family) -> Column:
     coded = F.filter("methods", lambda m: m["analysed"] & ~m["is_external"] & m["opcodes"].isNotNull())
-    return F.flatten(F.transform(coded, lambda m: F.filter(F.transform(m["opcodes"], family_name), lambda n: n.isNotNull())))
+    return F.flatten(F.transform(coded, lambda m: F.filter(F.transform(m["opcodes"], family), lambda n: n.isNotNull())))
+
+
+def code_features() -> Column:
+    return _coded(family_name)
+
+
+def code_families() -> Column:
+    """The same by their numbers."""
+    return _coded(family_value)
+
+
+def unmapped_opcodes() -> Column:
+    """How many opcodes of a class's own code belong to no family; they have no part in features and scores."""
+    coded = F.filter("methods", lambda m: m["declared"] & m["opcodes"].isNotNull())
+    return F.aggregate(coded, F.lit(0).cast("bigint"), lambda n, m: n + F.size(F.filter(m["opcodes"], lambda o: family_value(o).isNull())))
 
 
 BAGS = {"class_sh": class_features, "method_sh": method_features, "field_sh": field_features, "code_sh": code_features}

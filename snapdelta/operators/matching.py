@@ -40,13 +40,14 @@ def candidate_report(a: DataFrame, pairs: DataFrame, obfuscated: bool = False, s
     own = F.col("class_a") == F.col("class_b") if same is None else same
     grouped = pairs.groupBy("class_a").agg(F.sort_array(F.collect_set("class_b")).alias("c"), F.bool_or(own).alias("own"))
     rows = a.select(F.col("class_name").alias("class_a")).join(grouped, "class_a", "left")
-    mark = F.lit("") if obfuscated else F.when(F.col("own"), "").otherwise(" (not found in duplicates)")
-    line = F.when(F.col("c").isNull(), F.concat("class_a", F.lit(" -> NO NEAR DUPLICATES!"))).otherwise(F.concat("class_a", mark, F.lit(" -> ["), F.array_join("c", " "), F.lit("]")))
+    mark = F.lit("") if obfuscated else F.when(F.col("own"), "").otherwise(" (own name missing)")
+    line = F.when(F.col("c").isNull(), F.concat("class_a", F.lit(" -> none"))).otherwise(F.concat("class_a", mark, F.lit(" -> ["), F.array_join("c", " "), F.lit("]")))
     return rows.select("class_a", line.alias("line"))
 
 
 def summary(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of counts; the mean of candidates is null where there are none."""
+    """One row of counts; the mean of candidates is null where there are none. Unmapped opcodes are those of no family."""
     found = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("class_a").alias("with_candidates"))
-    counts = a.agg(F.count("*").alias("classes_a")).crossJoin(b.agg(F.count("*").alias("classes_b"))).crossJoin(found)  # one row each
-    return counts.select("classes_a", "classes_b", "pairs", "with_candidates", (F.col("classes_a") - F.col("with_candidates")).alias("without_candidates"), F.try_divide("pairs", "with_candidates").alias("mean_candidates"))
+    side = lambda df, s: df.agg(F.count("*").alias(f"classes_{s}"), F.coalesce(F.sum("unmapped"), F.lit(0)).alias(f"unmapped_{s}"))
+    counts = side(a, "a").crossJoin(side(b, "b")).crossJoin(found)  # one row each
+    return counts.select("classes_a", "classes_b", "unmapped_a", "unmapped_b", "pairs", "with_candidates", (F.col("classes_a") - F.col("with_candidates")).alias("without_candidates"), F.try_divide("pairs", "with_candidates").alias("mean_candidates"))

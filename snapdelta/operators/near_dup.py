@@ -13,15 +13,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.functions.hashing import simhash32, simhash32_rows
-from snapdelta.operators.features import BAGS, COMPONENTS
+from snapdelta.functions.families import NAMES
+from snapdelta.functions.hashing import fnv1a32, fnv1a32_py, simhash32, simhash32_numbered, simhash32_rows
+from snapdelta.operators.features import BAGS, COMPONENTS, code_families
+from snapdelta.operators.skew import HOT, spread_join
 
 KEYS = ["snapshot", "class_name"]
 
 
-def with_signature(classes: DataFrame) -> DataFrame:
-    """Adds the four components; narrow, by Arrow batches."""
-    return classes.withColumns({c: simhash32(bag()) for c, bag in BAGS.items()})
+def with_signature(classes: DataFrame, hash_fn=fnv1a32_py) -> DataFrame:
+    """Adds the four components; narrow, by Arrow batches. ``hash_fn`` gives a text's unsigned 32-bit hash.
+
+    Code is hashed by the counts of its families, the other bags feature by feature.
+    """
+    made = {c: simhash32(bag(), hash_fn) for c, bag in BAGS.items() if c != "code_sh"}
+    return classes.withColumns(made | {"code_sh": simhash32_numbered(code_families(), NAMES, hash_fn)})
 
 
 def component_rows(classes: DataFrame) -> DataFrame:
@@ -30,10 +36,13 @@ def component_rows(classes: DataFrame) -> DataFrame:
     return classes.select(*KEYS, F.explode(bags).alias("component", "bag")).select(*KEYS, "component", F.explode("bag").alias("feature")).groupBy(*KEYS, "component", "feature").agg(F.count("*").alias("n"))
 
 
-def native_components(classes: DataFrame) -> DataFrame:
-    """(snapshot, class_name, component, simhash) by JVM operators only; an empty bag gives 0."""
+def native_components(classes: DataFrame, hash_fn=fnv1a32) -> DataFrame:
+    """(snapshot, class_name, component, simhash) by JVM operators only; an empty bag gives 0.
+
+    ``hash_fn`` makes a column of unsigned 32-bit hashes of a column of texts.
+    """
     every = classes.select(*KEYS, F.explode(F.array(*map(F.lit, COMPONENTS))).alias("component"))
-    made = simhash32_rows(component_rows(classes), [*KEYS, "component"])
+    made = simhash32_rows(component_rows(classes), [*KEYS, "component"], hash_fn=hash_fn)
     return every.join(made, [*KEYS, "component"], "left").select(*KEYS, "component", F.coalesce("simhash", F.lit(0).cast("bigint")).alias("simhash"))
 
 
@@ -70,16 +79,17 @@ def hamming(left: str = "", right: str = "r_") -> Column:
     return reduce(lambda a, b: a + b, (F.bit_count(F.col(left + c).bitwiseXOR(F.col(right + c))) for c in COMPONENTS))
 
 
-def near_dup_signatures(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
+def near_dup_signatures(a: DataFrame, b: DataFrame, k: int = 3, hot: int = HOT) -> DataFrame:
     """Pairs of distinct signatures within distance k: (components, r_ components, hamming).
 
-    A pair that meets in several blocks is taken in the first of them, so nothing has to be made distinct.
+    A pair that meets in several blocks is taken in the first of them, so nothing has to be made distinct. A
+    block that many signatures of a side share is split.
     """
     left = blocks(a.select(*COMPONENTS).distinct(), k)
     right = blocks(b.select(*(F.col(c) for c in COMPONENTS)).distinct(), k)
-    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     keys = ["block", "p0", "p1", "p2", "p3"]
-    met = left.join(right, reduce(lambda x, y: x & y, (F.col(c) == F.col(f"r_{c}") for c in keys)))
+    right = right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in COMPONENTS))
+    met = spread_join(left, right, keys, hot)
     same = lambda i: reduce(lambda x, y: x & y, (p == q for p, q in zip(block_parts(k)[i], block_parts(k, "r_")[i], strict=True)))
     earlier = F.lit(False)
     for i in range(k):
@@ -88,12 +98,14 @@ def near_dup_signatures(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
     return met.where((distance <= k) & ~earlier).select(*COMPONENTS, *(f"r_{c}" for c in COMPONENTS), distance.cast("bigint").alias("hamming"))
 
 
-def near_dup_join(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
+def near_dup_join(a: DataFrame, b: DataFrame, k: int = 3, hot: int = HOT) -> DataFrame:
     """(class_a, class_b, hamming) of every pair within distance k.
 
-    Signatures are joined once however many classes share them; only then names are attached.
+    Signatures are joined once however many classes share them; only then names are attached, and the
+    names of a signature that very many classes have are dealt to several tasks.
     """
-    found = near_dup_signatures(a, b, k)
+    found = near_dup_signatures(a, b, k, hot)
     names_a = a.select(F.col("class_name").alias("class_a"), *COMPONENTS)
     names_b = b.select(F.col("class_name").alias("class_b"), *(F.col(c).alias(f"r_{c}") for c in COMPONENTS))
-    return found.join(names_a, COMPONENTS).join(names_b, [f"r_{c}" for c in COMPONENTS]).select("class_a", "class_b", "hamming")
+    named = spread_join(names_a, found, COMPONENTS, hot)
+    return spread_join(names_b, named, [f"r_{c}" for c in COMPONENTS], hot).select("class_a", "class_b", "hamming")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.functions.scores import avg_or_zero, code_score, code_sequence, count_penalty, jaccard, mean_penalty, snap
+from snapdelta.functions.scores import avg_or_zero, code_score, code_sequence, count_penalty, edit_distance, jaccard, mean_penalty, snap
 from snapdelta.operators.features import kinds, members, peer_access, peers
 
 
@@ -65,12 +65,6 @@ def method_score() -> Column:
     return 0.08 * jaccard(*_pair("m_descriptors")) + 0.07 * jaccard(*_pair("m_access")) + refs("from") + refs("to")
 
 
-def code_distance() -> Column:
-    """Edit distance of the bits; equal strings aren't aligned."""
-    a, b = _pair("code")
-    return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
-
-
 def attach(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs with both classes' score features, as ``a`` and ``b``."""
     left = a.select(F.col("class_name").alias("class_a"), F.struct(*(c for c in a.columns if c != "class_name")).alias("a"))
@@ -81,25 +75,38 @@ def attach(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 PARTS = {"fields_score": fields_score, "class_score": class_score, "method_score": method_score}
 
 
+def _total() -> Column:
+    return snap(F.col("fields_score") + F.col("class_score") + F.col("method_score") + F.col("code_score"))
+
+
+def _with_parts(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(class_a, class_b, three sub-scores, x, y): what the total needs, with the bits of both codes."""
+    x, y = _pair("code")
+    return attach(pairs, a, b).select("class_a", "class_b", *(f().alias(n) for n, f in PARTS.items()), x.alias("x"), y.alias("y"))
+
+
+def _totalled(parts: DataFrame) -> DataFrame:
+    scored = parts.withColumn("code_score", code_score(edit_distance(F.col("x"), F.col("y"))))
+    return scored.withColumn("score", _total()).select("class_a", "class_b", *PARTS, "code_score", "score")
+
+
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(class_a, class_b, the four sub-scores, score); ``a`` and ``b`` come from ``score_features``."""
-    parts = attach(pairs, a, b).select("class_a", "class_b", *(f().alias(n) for n, f in PARTS.items()), code_score(code_distance()).alias("code_score"))
-    return parts.withColumn("score", snap(F.col("fields_score") + F.col("class_score") + F.col("method_score") + F.col("code_score")))
+    return _totalled(_with_parts(pairs, a, b))
 
 
-def contenders(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The pairs that can be a class's best, without any edit distance.
+def score_contenders(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``score_pairs`` of the pairs that can be a class's best; only those are aligned.
 
     The distance lies between the difference and the greater of the lengths, which bounds the total
     from both sides; pairs whose upper bound is below their class's best lower bound are left out.
+    Features are attached once.
     """
-    from pyspark.sql import Window
-
-    x, y = _pair("code")
-    base = fields_score() + class_score() + method_score()
+    parts = _with_parts(pairs, a, b)
+    x, y = F.col("x"), F.col("y")
+    base = F.col("fields_score") + F.col("class_score") + F.col("method_score")
     gap, most = F.abs(F.length(x) - F.length(y)), F.greatest(F.length(x), F.length(y))
     upper = base + F.when(x == y, 0.15).otherwise(0.12 / F.sqrt(F.greatest(gap, F.lit(1))))
     lower = base + F.when(x == y, 0.15).otherwise(0.12 / F.sqrt(most))
-    bounded = attach(pairs, a, b).select("class_a", "class_b", upper.alias("upper"), lower.alias("lower"))
-    best = F.max("lower").over(Window.partitionBy("class_a"))
-    return bounded.withColumn("best", best).where(F.col("upper") >= F.col("best") - 1e-8).select("class_a", "class_b")
+    best = F.max(lower).over(Window.partitionBy("class_a"))
+    return _totalled(parts.withColumn("best", best).where(upper >= F.col("best") - 1e-8))

@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from time import perf_counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.config import DiffConfig
-from snapdelta.operators.features import COMPONENTS
-from snapdelta.operators.filters import is_empty, is_excluded
+from snapdelta.operators.features import COMPONENTS, unmapped_opcodes
+from snapdelta.operators.filters import is_empty, is_excluded, without_excluded
 from snapdelta.operators.matching import added, best_above, best_match, candidate_report, deleted, name_absent, summary
 from snapdelta.operators.near_dup import near_dup_join, with_signature
-from snapdelta.operators.scoring import contenders, score_columns, score_pairs
+from snapdelta.operators.scoring import score_columns, score_contenders, score_pairs
 
 
 @dataclass(frozen=True)
 class Diff:
     """``classes`` holds both snapshots ('a' and 'b'). Signatures with score features, and pairs, are
-    kept (memory and disk) as several results read them; ``release`` lets them go."""
+    kept (memory and disk) as several results read them; ``release`` lets them go. ``exclusions`` is a
+    table of excluded name parts (column ``value``), beside the few that the settings hold."""
 
     classes: DataFrame
     config: DiffConfig = DiffConfig()
+    exclusions: DataFrame | None = None
 
     @cached_property
     def internal(self) -> DataFrame:
-        return self.classes.where(F.col("is_internal") & ~is_excluded(self.config.excluded))
+        own = self.classes.where(F.col("is_internal") & ~is_excluded(self.config.excluded))
+        return own if self.exclusions is None else without_excluded(own, self.exclusions)
 
     @cached_property
     def signed(self) -> DataFrame:
         made = with_signature(self.internal.where(~is_empty()))
-        return made.select("snapshot", "class_name", *COMPONENTS, *(c.alias(n) for n, c in score_columns().items())).persist()
+        return made.select("snapshot", "class_name", *COMPONENTS, unmapped_opcodes().alias("unmapped"), *(c.alias(n) for n, c in score_columns().items())).persist()
 
     def side(self, snapshot: str) -> DataFrame:
         return self.signed.where(F.col("snapshot") == snapshot)
@@ -41,7 +45,7 @@ class Diff:
         return near_dup_join(self.side("a"), self.side("b"), self.config.hamming_distance).persist()
 
     def features(self, snapshot: str) -> DataFrame:
-        return self.side(snapshot).drop("snapshot", *COMPONENTS)
+        return self.side(snapshot).drop("snapshot", "unmapped", *COMPONENTS)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -49,8 +53,7 @@ class Diff:
 
     @cached_property
     def best(self) -> DataFrame:
-        a, b = self.features("a"), self.features("b")
-        found = best_match(score_pairs(contenders(self.pairs, a, b), a, b))
+        found = best_match(score_contenders(self.pairs, self.features("a"), self.features("b")))
         return found if self.config.threshold is None else found.where(F.col("score") >= self.config.threshold)
 
     def best_above(self, threshold: float) -> DataFrame:
@@ -67,7 +70,7 @@ class Diff:
     @cached_property
     def empty(self) -> DataFrame:
         found = self.internal.where((F.col("snapshot") == "a") & is_empty()).select("class_name")
-        return found.where(F.lit(bool(self.config.excluded) or not self.config.empties_need_exclusions))
+        return found.where(F.lit(bool(self.config.excluded) or self.exclusions is not None or not self.config.empties_need_exclusions))
 
     def status(self) -> DataFrame:
         """(class_name, status, score, candidates) of every class; candidates joined by a comma."""
@@ -84,6 +87,15 @@ class Diff:
             return counts
         return counts.crossJoin(name_absent(self.pairs).agg(F.count("*").alias("name_absent")))  # one row each
 
+    def phases(self) -> dict[str, tuple[float, int]]:
+        """Seconds and rows of signatures, search and scoring, each run to its end once; what they keep serves the results."""
+        took: dict[str, tuple[float, int]] = {}
+        for name, df in (("signatures", self.signed), ("near_duplicates", self.pairs), ("scores", self.best)):
+            began = perf_counter()
+            n = df.count()
+            took[name] = (perf_counter() - began, n)
+        return took
+
     def release(self) -> None:
         for name in ("signed", "pairs"):
             if name in self.__dict__:

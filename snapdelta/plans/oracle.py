@@ -16,7 +16,7 @@ methods AS (SELECT doc_id, idx, line, string_split(line, ' ')[1] AS descriptor,
   FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS idx FROM lists)),
 mwords AS (SELECT doc_id, idx, w FROM (SELECT doc_id, idx, unnest(string_split(line, ' ')) AS w FROM methods) WHERE length(w) >= 7),
 mrefs AS (SELECT doc_id, idx, count(*) AS n FROM mwords GROUP BY ALL),
-codes AS (SELECT doc_id, idx, p, unicode(substr(line, p, 1)) AS op FROM (SELECT doc_id, idx, line, unnest(range(1, least(length(line), 40) + 1)) AS p FROM methods WHERE idx < 10)),
+codes AS (SELECT doc_id, idx, p, unicode(c) AS op FROM (SELECT doc_id, idx, unnest(chars) AS c, generate_subscripts(chars, 1) AS p FROM (SELECT doc_id, idx, string_split(line, '') AS chars FROM methods))),
 tokens AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t FROM docs) WHERE t <> '' GROUP BY ALL),
 fields AS (SELECT doc_id, t AS descriptor, right(t, 3) AS access, length(t) >= 10 AS analysed, n * length(t) AS n_read, unicode(t) % 7 AS n_write,
     CASE WHEN regexp_matches(t, '[0-9]') THEN t END AS init_value FROM tokens WHERE length(t) >= 9),
@@ -50,7 +50,7 @@ method_features AS (
 field_features AS (
   SELECT doc_id, unnest([descriptor, access, n_read::VARCHAR, n_write::VARCHAR]) AS feature, 1 AS n FROM fields WHERE analysed
   UNION ALL SELECT doc_id, init_value, 1 FROM fields WHERE analysed AND init_value IS NOT NULL),
-code_features AS (SELECT doc_id, name AS feature, 1 AS n FROM (SELECT doc_id, {sql_name('op')} AS name FROM codes) WHERE name IS NOT NULL),
+code_features AS (SELECT doc_id, name AS feature, n FROM (SELECT doc_id, {sql_name('op')} AS name, n FROM (SELECT doc_id, op, count(*) AS n FROM codes GROUP BY ALL)) WHERE name IS NOT NULL),
 features AS (SELECT doc_id, component, feature, sum(n)::BIGINT AS n FROM (
   SELECT *, 'class_sh' AS component FROM class_features UNION ALL SELECT *, 'method_sh' FROM method_features
   UNION ALL SELECT *, 'field_sh' FROM field_features UNION ALL SELECT *, 'code_sh' FROM code_features) GROUP BY ALL)
@@ -79,7 +79,7 @@ pairs AS MATERIALIZED (SELECT * FROM (SELECT a.doc_id AS a_id, b.doc_id AS b_id,
 SEQUENCES = f"""
 mapped AS (SELECT doc_id, idx, list(v ORDER BY p) AS vs FROM (SELECT doc_id, idx, p, {sql_value('op')} AS v FROM codes) WHERE v IS NOT NULL GROUP BY ALL),
 signed AS (SELECT m.doc_id, m.idx, coalesce(vs, []) AS vs,
-    (len(coalesce(vs, [])) << 4) | coalesce(list_reduce(vs, lambda x, y: xor(x, y)), 0) AS sig FROM (SELECT doc_id, idx FROM methods WHERE idx < 10) m LEFT JOIN mapped p ON m.doc_id = p.doc_id AND m.idx = p.idx),
+    (len(coalesce(vs, [])) << 4) | coalesce(list_reduce(vs, lambda x, y: xor(x, y)), 0) AS sig FROM (SELECT doc_id, idx FROM methods) m LEFT JOIN mapped p ON m.doc_id = p.doc_id AND m.idx = p.idx),
 latest AS (SELECT doc_id, sig, arg_max(vs, idx) AS vs FROM signed GROUP BY ALL),
 sequences AS (SELECT l.doc_id AS doc_id, l.snapshot, l.class_name, coalesce(nullif(ltrim(string_agg(bits, '' ORDER BY sig), '0'), ''), '0') AS code FROM live l LEFT JOIN
   (SELECT doc_id, sig, array_to_string(list_transform(vs, lambda v: lpad(bin(v), 4, '0')), '') AS bits FROM latest) s ON l.doc_id = s.doc_id GROUP BY ALL)
@@ -111,10 +111,12 @@ def J(w: str, c: str) -> str:
 FIELDS_SCORE = f"(CASE WHEN a.n_analysed_fields = 0 AND b.n_analysed_fields = 0 THEN 0.16::DOUBLE WHEN a.n_analysed_fields = 0 OR b.n_analysed_fields = 0 THEN 0::DOUBLE ELSE {J('0.05', 'f_descriptors')} + {J('0.05', 'f_access')} + {mp('0.03', 'a.reads', 'b.reads')} + {mp('0.03', 'a.writes', 'b.writes')} END)"
 CLASS_SCORE = f"({cp('0.08', 'a.n_methods', 'b.n_methods')} + {cp('0.06', 'a.n_fields', 'b.n_fields')} + {_refs('from')} + {_refs('to')} + {cp('0.04', 'a.n_implements', 'b.n_implements')})"
 METHOD_SCORE = f"({J('0.08', 'm_descriptors')} + {J('0.07', 'm_access')} + 0.04::DOUBLE + 0.04::DOUBLE + {J('0.04', 'm_to_access')} + {mp('0.04', 'a.m_to', 'b.m_to')})"
-_D = "(CASE WHEN sa.code = sb.code THEN 0 ELSE levenshtein(sa.code, sb.code) END)"
-CODE_SCORE = f"(CASE WHEN {_D} = 0 THEN 0.15::DOUBLE ELSE 0.12::DOUBLE / sqrt({_D}) END)"
+#: Edit distances of all pairs; in slices that add up to all of them, as an engine that deals rows to threads by the thousand would take one thread.
+CODED = "coded AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT a_id, b_id, CASE WHEN sa.code = sb.code THEN 0 ELSE levenshtein(sa.code, sb.code) END AS d FROM pairs p JOIN sequences sa ON p.a_id = sa.doc_id JOIN sequences sb ON p.b_id = sb.doc_id WHERE (p.a_id // 2) % 8 = {k}" for k in range(8)
+) + "), code_scores AS (SELECT a_id, b_id, CASE WHEN d = 0 THEN 0.15::DOUBLE ELSE 0.12::DOUBLE / sqrt(d) END AS code_score FROM coded)"
 
-SCORES = f"""
+SHAPES = f"""
 shapes AS (SELECT s.*, f.* EXCLUDE (doc_id), m.* EXCLUDE (doc_id), r.* EXCLUDE (doc_id), coalesce(m_to_, 0) AS m_to, xf.kinds AS from_kinds, xt.kinds AS to_kinds,
     coalesce(reads_, 0) AS reads, coalesce(writes_, 0) AS writes FROM live s
   LEFT JOIN (SELECT doc_id, list(DISTINCT descriptor) AS f_descriptors, list(DISTINCT access) AS f_access, avg(n_read) FILTER (analysed) AS reads_, avg(n_write) FILTER (analysed) AS writes_ FROM fields GROUP BY 1) f ON s.doc_id = f.doc_id
@@ -122,9 +124,11 @@ shapes AS (SELECT s.*, f.* EXCLUDE (doc_id), m.* EXCLUDE (doc_id), r.* EXCLUDE (
   LEFT JOIN (SELECT w.doc_id, list(DISTINCT right(w, 3)) FILTER (length(w) >= 9) AS m_to_access, any_value(x.mean) AS m_to_ FROM mwords w JOIN (SELECT doc_id, avg(n) AS mean FROM mrefs GROUP BY 1) x ON w.doc_id = x.doc_id GROUP BY 1) r ON s.doc_id = r.doc_id
   LEFT JOIN (SELECT doc_id, list(DISTINCT kind) AS kinds FROM xfrom GROUP BY 1) xf ON s.doc_id = xf.doc_id
   LEFT JOIN (SELECT doc_id, list(DISTINCT kind) AS kinds FROM xto GROUP BY 1) xt ON s.doc_id = xt.doc_id),
-parts AS MATERIALIZED (SELECT class_a, class_b, {FIELDS_SCORE} AS fields_score, {CLASS_SCORE} AS class_score, {METHOD_SCORE} AS method_score, {CODE_SCORE} AS code_score
-  FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id JOIN sequences sa ON p.a_id = sa.doc_id JOIN sequences sb ON p.b_id = sb.doc_id),
-scored AS (SELECT *, CASE WHEN 1 - s < 1e-7 THEN 1.0::DOUBLE ELSE s END AS score FROM (SELECT *, fields_score + class_score + method_score + code_score AS s FROM parts)),
+parts AS MATERIALIZED (SELECT p.a_id, p.b_id, class_a, class_b, {FIELDS_SCORE} AS fields_score, {CLASS_SCORE} AS class_score, {METHOD_SCORE} AS method_score
+  FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id)
+"""
+TOTALS = """
+scored AS (SELECT *, CASE WHEN 1 - s < 1e-7 THEN 1.0::DOUBLE ELSE s END AS score FROM (SELECT p.*, c.code_score, fields_score + class_score + method_score + c.code_score AS s FROM parts p JOIN code_scores c ON p.a_id = c.a_id AND p.b_id = c.b_id)),
 best AS (SELECT class_a, max(score) AS score, string_agg(class_b, ',' ORDER BY class_b) AS candidates FROM (SELECT *, rank() OVER (PARTITION BY class_a ORDER BY round(score, 9) DESC) AS r FROM scored) WHERE r = 1 GROUP BY 1)
 """
 
@@ -135,7 +139,8 @@ def micro(column: str) -> str:
 
 _EXCLUDED = " OR ".join(f"strpos(substr(class_name, 2), '{e}') > 0" for e in EXCLUDED)
 TO_PAIRS = [CORPUS, FEATURES, SIGNATURES, PAIRS]
-TO_SCORES = [*TO_PAIRS, SEQUENCES, SCORES]
+TO_PARTS = [*TO_PAIRS, SHAPES]
+TO_SCORES = [*TO_PARTS, SEQUENCES, CODED, TOTALS]
 
 
 def q(parts: list[str], select: str) -> str:
@@ -146,13 +151,21 @@ def _features(component: str) -> str:
     return q([CORPUS, FEATURES], f"SELECT snapshot, class_name, feature, n FROM features JOIN docs USING (doc_id) WHERE component = '{component}'")
 
 
+_PART = lambda part: q(TO_PARTS, f"SELECT class_a, class_b, {micro(part)} AS {part} FROM parts")
 _SCORED = lambda part: q(TO_SCORES, f"SELECT class_a, class_b, {micro(part)} AS {part} FROM scored")
 _HEX = " || ".join(f"lower(lpad(to_hex({c}), 8, '0'))" for c in ("class_sh", "method_sh", "field_sh", "code_sh"))
 _BLOCK = " || '.' || ".join(f"(({c} >> (24 - 8 * block)) & 255)" for c in ("class_sh", "method_sh", "field_sh", "code_sh"))
 _SOURCES = "JOIN docs da ON p.a_id = da.doc_id JOIN docs db ON p.b_id = db.doc_id"
 _SAME = "bool_or(da.source = db.source AND da.lang = db.lang)"
 
+_UNMAPPED = lambda s: f"(SELECT count(*) FROM codes c JOIN live l ON c.doc_id = l.doc_id WHERE snapshot = '{s}' AND ({sql_value('op')}) IS NULL) AS unmapped_{s}"
+
 ORACLE = {
+    "package_classes": """
+      SELECT 'Lnation/N' || n_nationkey || ';' AS class_name, true AS is_internal, 'public final' AS access_flags, 'Lregion/R' || n_regionkey || ';' AS extends, 1::BIGINT AS n_methods, 1::BIGINT AS n_fields,
+        n_nationkey::VARCHAR AS init_value, 'STRING,CALL,ENDOFBASICBLOCK' AS families, 1::BIGINT AS n_used, 0::BIGINT AS n_users FROM nation
+      UNION ALL SELECT 'Lregion/R' || r_regionkey || ';', true, 'public abstract', 'Ljava/lang/Object;', 1, 0, NULL, 'ENDOFBASICBLOCK', 0, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) FROM region
+      UNION ALL SELECT 'Ljava/lang/Object;', false, '', '', 0, 0, NULL, '', 0, 0""",
     "scan_classes": q([CORPUS], "SELECT d.snapshot, d.class_name, d.lang AS access_flags, d.extends, s.n_methods, s.n_fields, s.n_analysed_fields, s.n_implements::BIGINT AS n_implements FROM docs d JOIN sizes s ON d.doc_id = s.doc_id"),
     "excluded_filter": q([CORPUS], f"SELECT snapshot, class_name FROM docs WHERE NOT ({_EXCLUDED})"),
     "empty_filter": q([CORPUS], "SELECT snapshot, class_name, n_methods = 0 AND n_analysed_fields = 0 AS is_empty FROM sizes"),
@@ -169,19 +182,19 @@ ORACLE = {
     "deleted_anti": q(TO_PAIRS, "SELECT class_name FROM live WHERE snapshot = 'a' AND class_name NOT IN (SELECT class_a FROM pairs)"),
     "added_anti": q(TO_PAIRS, "SELECT class_name FROM live WHERE snapshot = 'b' AND class_name NOT IN (SELECT class_b FROM pairs)"),
     "name_absent_count": q(TO_PAIRS, f"SELECT count(*) AS name_absent FROM (SELECT class_a FROM pairs p {_SOURCES} GROUP BY 1 HAVING NOT {_SAME})"),
-    "candidate_report": q(TO_PAIRS, f"""SELECT l.class_name AS class_a, l.class_name || CASE WHEN c IS NULL THEN ' -> NO NEAR DUPLICATES!' ELSE CASE WHEN same THEN '' ELSE ' (not found in duplicates)' END || ' -> [' || c || ']' END AS line
+    "candidate_report": q(TO_PAIRS, f"""SELECT l.class_name AS class_a, l.class_name || CASE WHEN c IS NULL THEN ' -> none' ELSE CASE WHEN same THEN '' ELSE ' (own name missing)' END || ' -> [' || c || ']' END AS line
       FROM live l LEFT JOIN (SELECT class_a, string_agg(class_b, ' ' ORDER BY class_b) AS c, {_SAME} AS same FROM pairs p {_SOURCES} GROUP BY 1) x ON l.class_name = x.class_a WHERE snapshot = 'a'"""),
-    "summary_metrics": q(TO_PAIRS, f"""SELECT (SELECT count(*) FROM live WHERE snapshot = 'a') AS classes_a, (SELECT count(*) FROM live WHERE snapshot = 'b') AS classes_b, count(*) AS pairs,
+    "summary_metrics": q(TO_PAIRS, f"""SELECT (SELECT count(*) FROM live WHERE snapshot = 'a') AS classes_a, (SELECT count(*) FROM live WHERE snapshot = 'b') AS classes_b, {_UNMAPPED('a')}, {_UNMAPPED('b')}, count(*) AS pairs,
       count(DISTINCT class_a) AS with_candidates, (SELECT count(*) FROM live WHERE snapshot = 'a') - count(DISTINCT class_a) AS without_candidates, {micro('(count(*)::DOUBLE / nullif(count(DISTINCT class_a), 0))')} AS mean_candidates FROM pairs"""),
-    "jaccard": q(TO_SCORES, f"SELECT class_a, class_b, {micro(jaccard('a.f_descriptors', 'b.f_descriptors'))} AS jaccard FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id"),
+    "jaccard": q(TO_PARTS, f"SELECT class_a, class_b, {micro(jaccard('a.f_descriptors', 'b.f_descriptors'))} AS jaccard FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id"),
     "avg_or_zero": q([CORPUS], f"SELECT l.snapshot, l.class_name, {micro('coalesce(avg(n_read), 0)')} AS reads FROM live l LEFT JOIN (SELECT * FROM fields WHERE analysed) f ON l.doc_id = f.doc_id GROUP BY 1, 2"),
-    "ratio_penalty": q(TO_SCORES, f"SELECT class_a, class_b, {micro(cp('0.08', 'a.n_methods', 'b.n_methods'))} AS count_penalty, {micro(mp('0.03', 'a.reads', 'b.reads'))} AS mean_penalty FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id"),
+    "ratio_penalty": q(TO_PARTS, f"SELECT class_a, class_b, {micro(cp('0.08', 'a.n_methods', 'b.n_methods'))} AS count_penalty, {micro(mp('0.03', 'a.reads', 'b.reads'))} AS mean_penalty FROM pairs p JOIN shapes a ON p.a_id = a.doc_id JOIN shapes b ON p.b_id = b.doc_id"),
     "method_code_sig": q([CORPUS, SEQUENCES], "SELECT l.snapshot, l.class_name, idx::INT AS idx, sig::BIGINT AS sig FROM signed s JOIN live l ON s.doc_id = l.doc_id"),
     "code_sequence": q([CORPUS, SEQUENCES], "SELECT snapshot, class_name, code FROM sequences"),
     "code_score": _SCORED("code_score"),
-    "fields_score": _SCORED("fields_score"),
-    "class_score": _SCORED("class_score"),
-    "method_score": _SCORED("method_score"),
+    "fields_score": _PART("fields_score"),
+    "class_score": _PART("class_score"),
+    "method_score": _PART("method_score"),
     "score_pairs": q(TO_SCORES, f"SELECT class_a, class_b, {', '.join(f'{micro(c)} AS {c}' for c in ('fields_score', 'class_score', 'method_score', 'code_score', 'score'))} FROM scored"),
     "similarity_score": _SCORED("score"),
     "best_match": q(TO_SCORES, f"SELECT class_a, {micro('score')} AS score, candidates FROM best"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import finalize
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.functions.families import family_name, family_value
@@ -17,9 +19,22 @@ from snapdelta.operators.near_dup import blocks, native_components, signature_he
 from snapdelta.operators.scoring import attach
 from snapdelta.plans.diff import Diff
 from snapdelta.plans.oracle import EXCLUDED
+from snapdelta.schema import ROOT
+from snapdelta.sources.assemble import build
 from snapdelta.sources.corpus import load
+from snapdelta.sources.dex import read_packages
+from snapdelta.sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _kept_for(result: DataFrame, *diffs: Diff) -> DataFrame:
+    """What the comparison keeps lives as long as the result that reads it."""
+    for diff in diffs:
+        finalize(result, diff.release).atexit = False
+    return result
+
+
 NAME = ["snapshot", "class_name"]
 
 
@@ -76,15 +91,18 @@ def lsh_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_join(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).pairs
+    diff = _diff(spark, d)
+    return _kept_for(diff.pairs.select("*"), diff)
 
 
 def deleted_anti(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).deleted
+    diff = _diff(spark, d)
+    return _kept_for(diff.deleted, diff)
 
 
 def added_anti(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).added
+    diff = _diff(spark, d)
+    return _kept_for(diff.added, diff)
 
 
 def _pairs_with_origin(spark: SparkSession, d: str) -> tuple[Diff, DataFrame]:
@@ -96,27 +114,27 @@ def _pairs_with_origin(spark: SparkSession, d: str) -> tuple[Diff, DataFrame]:
 
 
 def name_absent_count(spark: SparkSession, d: str) -> DataFrame:
-    _, pairs = _pairs_with_origin(spark, d)
-    return matching.name_absent(pairs, F.col("origin_a") == F.col("origin_b")).agg(F.count("*").alias("name_absent"))
+    diff, pairs = _pairs_with_origin(spark, d)
+    return _kept_for(matching.name_absent(pairs, F.col("origin_a") == F.col("origin_b")).agg(F.count("*").alias("name_absent")), diff)
 
 
 def candidate_report(spark: SparkSession, d: str) -> DataFrame:
     diff, pairs = _pairs_with_origin(spark, d)
-    return matching.candidate_report(diff.side("a"), pairs, same=F.col("origin_a") == F.col("origin_b"))
+    return _kept_for(matching.candidate_report(diff.side("a"), pairs, same=F.col("origin_a") == F.col("origin_b")), diff)
 
 
 def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
     diff = _diff(spark, d)
-    return matching.summary(diff.side("a"), diff.side("b"), diff.pairs).withColumn("mean_candidates", micro(F.col("mean_candidates")))
+    return _kept_for(matching.summary(diff.side("a"), diff.side("b"), diff.pairs).withColumn("mean_candidates", micro(F.col("mean_candidates"))), diff)
 
 
-def _attached(spark: SparkSession, d: str) -> DataFrame:
+def _attached(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
     diff = _diff(spark, d)
-    return attach(diff.pairs, diff.features("a"), diff.features("b"))
+    return _kept_for(attach(diff.pairs, diff.features("a"), diff.features("b")).select("class_a", "class_b", *columns), diff)
 
 
 def jaccard_query(spark: SparkSession, d: str) -> DataFrame:
-    return _attached(spark, d).select("class_a", "class_b", micro(jaccard(F.col("a.f_descriptors"), F.col("b.f_descriptors"))).alias("jaccard"))
+    return _attached(spark, d, micro(jaccard(F.col("a.f_descriptors"), F.col("b.f_descriptors"))).alias("jaccard"))
 
 
 def avg_query(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +144,7 @@ def avg_query(spark: SparkSession, d: str) -> DataFrame:
 def ratio_penalty(spark: SparkSession, d: str) -> DataFrame:
     count = count_penalty(0.08, F.col("a.n_methods"), F.col("b.n_methods"))
     mean = mean_penalty(0.03, F.col("a.reads"), F.col("b.reads"))
-    return _attached(spark, d).select("class_a", "class_b", micro(count).alias("count_penalty"), micro(mean).alias("mean_penalty"))
+    return _attached(spark, d, micro(count).alias("count_penalty"), micro(mean).alias("mean_penalty"))
 
 
 def method_sig_query(spark: SparkSession, d: str) -> DataFrame:
@@ -141,25 +159,51 @@ def sequence_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(*parts: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _diff(spark, d).scored.select("class_a", "class_b", *(micro(F.col(p)).alias(p) for p in parts))
+        diff = _diff(spark, d)
+        return _kept_for(diff.scored.select("class_a", "class_b", *(micro(F.col(p)).alias(p) for p in parts)), diff)
 
     return run
 
 
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).best.select("class_a", micro(F.col("score")).alias("score"), F.array_join("candidates", ",").alias("candidates"))
+    diff = _diff(spark, d)
+    return _kept_for(diff.best.select("class_a", micro(F.col("score")).alias("score"), F.array_join("candidates", ",").alias("candidates")), diff)
 
 
 def best_above_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).best_above(0.5).withColumn("score", micro(F.col("score")))
+    diff = _diff(spark, d)
+    return _kept_for(diff.best_above(0.5).withColumn("score", micro(F.col("score"))), diff)
 
 
 def diff_status(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).status().withColumn("score", micro(F.col("score")))
-
-
+    diff = _diff(spark, d)
+    return _kept_for(diff.status().withColumn("score", micro(F.col("score"))), diff)
+
+
+def package_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of a package that is assembled from two small tables: a class a region, and a class a nation that extends its region's."""
+    rows = lambda name: sorted(map(tuple, spark.read.parquet(f"{d}/{name}.parquet").select(*TABLES[name]).collect()))
+    region = lambda key: f"Lregion/R{key};"
+    classes = [(region(key), 0x401, ROOT, (), [], [("name", "V", (), 0x1, [0x0E])]) for (key,) in rows("region")]
+    for key, name, parent in rows("nation"):
+        code = [0x001A, ("s", name), 0x106E, ("m", region(parent), "name", "V", ()), 0, 0x0E]
+        classes.append((f"Lnation/N{key};", 0x11, region(parent), (), [("key", "I", 0x18, bytes([0x04, key]))], [("go", "V", ("I",), 0x1, code)]))
+    folder = shared_path(spark, "package")
+    system, path = pafs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/tables.dex") as file:
+        file.write(build(classes))
+    found = read_packages(spark, folder, "a")
+    size = lambda column: F.size(members(column, "declared")).cast("bigint")
+    named = F.array_join(F.transform(F.flatten(F.transform(F.filter("methods", lambda m: m["opcodes"].isNotNull()), lambda m: m["opcodes"])), family_name), ",")
+    return found.select(
+        "class_name", "is_internal", F.coalesce("access_flags", F.lit("")).alias("access_flags"), F.coalesce("extends", F.lit("")).alias("extends"), size("methods").alias("n_methods"), size("fields").alias("n_fields"),
+        F.get(F.transform("fields", lambda f: f["init_value"]), F.lit(0)).alias("init_value"), named.alias("families"), F.size("xref_to").cast("bigint").alias("n_used"), F.size("xref_from").cast("bigint").alias("n_users"))
+
+
+TABLES = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_name", "n_regionkey"]}
 QUERIES: dict[str, Query] = {
-    "scan_classes": scan_classes, "excluded_filter": excluded_filter, "empty_filter": empty_filter, "opcode_family": opcode_family,
+    "package_classes": package_classes, "scan_classes": scan_classes, "excluded_filter": excluded_filter, "empty_filter": empty_filter, "opcode_family": opcode_family,
     "class_features": _features("class_sh"), "method_features": _features("method_sh"), "field_features": _features("field_sh"), "code_features": _features("code_sh"),
     "fnv1a32": fnv, "simhash32": simhash32, "signature128": signature128, "lsh_blocks": lsh_blocks, "near_dup_join": near_dup_join,
     "deleted_anti": deleted_anti, "added_anti": added_anti, "name_absent_count": name_absent_count, "candidate_report": candidate_report, "summary_metrics": summary_metrics,

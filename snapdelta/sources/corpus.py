@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from snapdelta.schema import FIELDS, METHODS, ROOT, XREF
 
-CODED_METHODS, CODED_CHARS = 10, 40
-
 
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, " "), lambda w: w != "")
@@ -23,13 +21,13 @@ def _methods(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: F.size(_words(x)) >= 2)
     long = lambda x: F.filter(F.split(x, " "), lambda w: F.length(w) >= 7)
     refs = lambda x: F.transform(long(x), lambda w: F.struct((F.length(w) >= 9).alias("peer_is_class"), F.right(w, F.lit(3)).alias("peer_access")))
-    codes = lambda x: F.transform(F.filter(F.split(F.substring(x, 1, CODED_CHARS), ""), lambda c: c != ""), F.ascii)
+    codes = lambda x: F.transform(F.filter(F.split(x, ""), lambda c: c != ""), F.ascii)
 
     def one(x: Column, i: Column) -> Column:
         words = F.split(x, " ")
         return F.struct(
             i.alias("idx"), F.lit(True).alias("declared"), F.lit(True).alias("analysed"), F.lit(False).alias("is_external"),
-            words[0].alias("descriptor"), words[1].alias("access"), F.when(i < CODED_METHODS, codes(x)).alias("opcodes"),
+            words[0].alias("descriptor"), words[1].alias("access"), codes(x).alias("opcodes"),
             F.array().cast(XREF).alias("xref_from"), refs(x).alias("xref_to"),
         )
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.plans.diff import Diff
@@ -37,6 +37,11 @@ def write_results(diff: Diff, folder: str) -> None:
     diff.status().write.mode("errorifexists").partitionBy("status").parquet(f"{folder}/status")
 
 
+def write_phases(spark: SparkSession, took: dict[str, tuple[float, int]], folder: str) -> None:
+    """Seconds and rows of each phase of a run."""
+    spark.createDataFrame([(n, s, r) for n, (s, r) in took.items()], "phase string, seconds double, rows bigint").coalesce(1).write.mode("errorifexists").json(f"{folder}/phases")
+
+
 _PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>{title}</title>
 <style>body{{font:15px sans-serif;margin:2rem}}nav a{{margin-right:1rem}}table{{border-collapse:collapse}}td,th{{border:1px solid #bbb;padding:.2rem .6rem;text-align:left}}</style>

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from snapdelta.config import DiffConfig
@@ -116,15 +118,69 @@ def test_exclusion(spark):
     df = spark.createDataFrame([cls("a", n) for n in ("axb", "xb", "Lfr/X;", "fr/X")], CLASS)
     names = lambda d: sorted(r.class_name for r in d.collect())
     assert names(df.where(~filters.is_excluded(("ax", "xb")))) == ["Lfr/X;", "fr/X", "xb"]
-    table = spark.createDataFrame([("ax",), ("xb",), (" ",), ("",)], "value string")
+    table = spark.createDataFrame([("ax",), ("xb",), (" ",), ("",), ("longer than any name",)], "value string")
     assert names(filters.without_excluded(df, table)) == ["Lfr/X;", "fr/X", "xb"]
+    assert names(filters.without_excluded(df, table.limit(0))) == names(df) and names(filters.without_excluded(df.limit(0), table)) == []
+    rng = random.Random(6)
+    words = ["".join(rng.choices("ab/é", k=rng.randint(1, 9))) for _ in range(300)]
+    parts = tuple({"".join(rng.choices("ab/é", k=rng.randint(1, 5))) for _ in range(25)})
+    many = spark.createDataFrame([cls("a", n) for n in words], CLASS)
+    got = names(filters.without_excluded(many, spark.createDataFrame([(p,) for p in parts], "value string")))
+    assert got == names(many.where(~filters.is_excluded(parts))) == sorted(n for n in words if not any(p in n[1:] for p in parts))
     assert DiffConfig(("", " \n", "com/a\n")).excluded == ("com/a",) and tables.exclusion_entries("a; ;b;") == ("a", "b")
     with pytest.raises(ValueError):
         DiffConfig(hamming_distance=32)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, q in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (p != q))
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="01", max_size=90), st.text(alphabet="01", max_size=90))
+def test_bit_distance_equals_a_plain_table(a, b):
+    assert scores.bit_distance(a, b) == plain_distance(a, b) == scores.bit_distance(b, a)
+
+
+def test_edit_distance_column(spark):
+    rng = random.Random(4)
+    rows = [(a := "".join(rng.choices("01", k=rng.randint(1, 900))), a[: len(a) // 2] + "1" + a[len(a) // 2 + rng.randint(0, 40) :]) for _ in range(30)] + [("0", "0"), ("1", "0")]
+    df = spark.createDataFrame(rows, "a string, b string").select(scores.edit_distance(F.col("a"), F.col("b")).alias("x"), F.levenshtein("a", "b").alias("y"))
+    assert all(r.x == r.y for r in df.collect())
+
+
+def test_numbered_simhash_and_other_hashes(spark):
+    import zlib
+
+    rng, names = random.Random(2), families.NAMES
+    for _ in range(20):
+        bag = rng.choices(range(13), k=rng.randint(0, 50))
+        for fn in (hashing.fnv1a32_py, lambda t: zlib.crc32(t.encode())):
+            got = one(spark, hashing.simhash32_numbered(ints(*bag), names, fn))
+            assert got == hashing.simhash32_py([names[k] for k in bag], {}, fn)
+    live = load(spark, "/root/testdata/sf0.001").where(~filters.is_empty())
+    crc = {(r.snapshot, r.class_name, r.component): r.simhash for r in near_dup.native_components(live, F.crc32).collect()}
+    for r in near_dup.with_signature(live, lambda t: zlib.crc32(t.encode())).collect():
+        assert all(crc[r.snapshot, r.class_name, c] == r[c] for c in near_dup.COMPONENTS)
+
+
+def test_spread_join(spark):
+    from snapdelta.operators.skew import spread_join
+
+    many = spark.range(2000).selectExpr("if(id < 1500, 1, id % 7) AS k", "id % 2 AS j", "id AS v")
+    other = spark.range(21).selectExpr("id % 7 AS k", "id % 2 AS j", "id AS w")
+    key = lambda df: sorted(map(tuple, df.select("k", "j", "v", "w").collect()))
+    assert key(spread_join(many, other, ["k", "j"], 100)) == key(spread_join(many, other, ["k", "j"])) == key(many.join(other, ["k", "j"]))
+
+
+@pytest.mark.parametrize("hot", [5, near_dup.HOT])
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 4, 6, 8])
-def test_block_join_equals_brute_force(spark, k):
+def test_block_join_equals_brute_force(spark, k, hot):
     rng = random.Random(k)
     base = [[rng.getrandbits(32) for _ in range(4)] for _ in range(6)]
 
@@ -139,7 +195,7 @@ def test_block_join_equals_brute_force(spark, k):
 
     a, b = rows("a"), rows("b")
     schema = "class_name string, " + ", ".join(f"{c} bigint" for c in near_dup.COMPONENTS)
-    found = near_dup.near_dup_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), k)
+    found = near_dup.near_dup_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), k, hot)
     got = sorted((r.class_a, r.class_b, r.hamming) for r in found.collect())
     distance = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x[1:], y[1:]))
     assert got == sorted((x[0], y[0], distance(x, y)) for x in a for y in b if distance(x, y) <= k)
@@ -171,8 +227,9 @@ def test_small_snapshots(spark, tmp_path):
     diff = Diff(spark.createDataFrame(rows, CLASS), DiffConfig(("com/",)))
     got = sorted((r.class_name, r.status, r.candidates) for r in diff.status().collect())
     assert got == [("La;", "similar", "La;,Lb;"), ("Lempty;", "empty", ""), ("Lgone;", "deleted", ""), ("Lnew;", "added", "")]
-    assert sorted(r.line for r in diff.report().collect()) == ["La; -> [La; Lb;]", "Lgone; -> NO NEAR DUPLICATES!"]
+    assert sorted(r.line for r in diff.report().collect()) == ["La; -> [La; Lb;]", "Lgone; -> none"]
     s = diff.summary().first()
+    assert (s.unmapped_a, s.unmapped_b) == (0, 0)
     assert (s.classes_a, s.classes_b, s.pairs, s.with_candidates, s.without_candidates, s.mean_candidates, s.name_absent) == (2, 3, 2, 1, 1, 2.0, 0)
     sinks.write_results(diff, str(tmp_path / "run"))
     assert {p.name for p in (tmp_path / "run").iterdir()} == {"simhash_results", "similar_classes", "deleted_classes", "added_classes", "empty_classes", "summary", "status"}
@@ -227,3 +284,37 @@ def test_command_line(spark, tmp_path):
     folder = main([str(tmp_path / "a"), str(tmp_path / "b"), "--excpkgs", "D1;", "-f", str(tmp_path / "ex.txt"), "--output", str(tmp_path / "out"), "--html"])
     status = spark.read.parquet(f"{folder}/status")
     assert status.count() > 0 and status.where("class_name like 'Lfr/%' or class_name like '%D1%'").count() == 0
+    phases = {r.phase: r for r in spark.read.json(f"{folder}/phases").collect()}
+    assert set(phases) == {"signatures", "near_duplicates", "scores", "results"} and phases["results"].rows == status.count() and all(p.seconds > 0 for p in phases.values())
+
+
+def test_unmapped_opcodes_are_counted(spark):
+    rows = [cls("a", "La;", [method(0, opcodes=[0x73, 0x0E, 0x73]), method(1, opcodes=[0xE5], declared=False), method(2)]), cls("b", "La;", [method(0, opcodes=[0x0E, 0x101])])]
+    diff = Diff(spark.createDataFrame(rows, CLASS))
+    s = diff.summary().first()
+    diff.release()
+    assert (s.unmapped_a, s.unmapped_b) == (2, 1)
+
+
+def test_code_is_whole(spark):
+    """Opcodes of every line, over its whole length."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    coded = F.aggregate("methods", F.lit(0).cast("bigint"), lambda n, m: n + F.size(m["opcodes"]))
+    got = {r.doc_id: r.n for r in load(spark, "/root/testdata/sf0.001").select("doc_id", coded.alias("n")).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == sum(len(x) for x in (r.text or "").split("\n") if len([w for w in x.split(" ") if w]) >= 2)
+
+
+def test_queries_let_go_of_what_they_keep(spark):
+    import gc
+
+    from snapdelta.plans.queries import QUERIES
+
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    gc.collect()
+    before = kept()
+    result = QUERIES["near_dup_join"](spark, "/root/testdata/sf0.001")
+    assert result.count() > 0 and kept() > before
+    del result
+    gc.collect()
+    assert kept() <= before
