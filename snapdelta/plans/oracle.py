@@ -164,8 +164,8 @@ ORACLE = {
     "package_classes": """
       SELECT 'Lnation/N' || n_nationkey || ';' AS class_name, true AS is_internal, 'public final' AS access_flags, 'Lregion/R' || n_regionkey || ';' AS extends, 1::BIGINT AS n_methods, 1::BIGINT AS n_fields,
         n_nationkey::VARCHAR AS init_value, 'STRING,CALL,ENDOFBASICBLOCK' AS families, 1::BIGINT AS n_used, 0::BIGINT AS n_users FROM nation
-      UNION ALL SELECT 'Lregion/R' || r_regionkey || ';', true, 'public abstract', 'Ljava/lang/Object;', 1, 0, NULL, 'ENDOFBASICBLOCK', 0, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) FROM region
-      UNION ALL SELECT 'Ljava/lang/Object;', false, '', '', 0, 0, NULL, '', 0, 0""",
+      UNION ALL SELECT 'Lregion/R' || r_regionkey || ';', true, 'public abstract', 'Ljava/lang/Object;', 1, 0, NULL, 'CALL,ENDOFBASICBLOCK', 1, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) FROM region
+      UNION ALL SELECT 'Ljava/lang/Object;', false, '', 'Ljava/lang/Object;', 0, 0, NULL, '', 0, (SELECT count(*) FROM region)""",
     "scan_classes": q([CORPUS], "SELECT d.snapshot, d.class_name, d.lang AS access_flags, d.extends, s.n_methods, s.n_fields, s.n_analysed_fields, s.n_implements::BIGINT AS n_implements FROM docs d JOIN sizes s ON d.doc_id = s.doc_id"),
     "excluded_filter": q([CORPUS], f"SELECT snapshot, class_name FROM docs WHERE NOT ({_EXCLUDED})"),
     "empty_filter": q([CORPUS], "SELECT snapshot, class_name, n_methods = 0 AND n_analysed_fields = 0 AS is_empty FROM sizes"),

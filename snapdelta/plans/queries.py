@@ -184,7 +184,7 @@ def package_classes(spark: SparkSession, d: str) -> DataFrame:
     """A scan of a package that is assembled from two small tables: a class a region, and a class a nation that extends its region's."""
     rows = lambda name: sorted(map(tuple, spark.read.parquet(f"{d}/{name}.parquet").select(*TABLES[name]).collect()))
     region = lambda key: f"Lregion/R{key};"
-    classes = [(region(key), 0x401, ROOT, (), [], [("name", "V", (), 0x1, [0x0E])]) for (key,) in rows("region")]
+    classes = [(region(key), 0x401, ROOT, (), [], [("name", "V", (), 0x1, [0x1070, ("m", ROOT, "<init>", "V", ()), 0, 0x0E])]) for (key,) in rows("region")]
     for key, name, parent in rows("nation"):
         code = [0x001A, ("s", name), 0x106E, ("m", region(parent), "name", "V", ()), 0, 0x0E]
         classes.append((f"Lnation/N{key};", 0x11, region(parent), (), [("key", "I", 0x18, bytes([0x04, key]))], [("go", "V", ("I",), 0x1, code)]))

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 
-TABLES = "documents labels pages conversations benchmark embeddings".split()
+TABLES = "documents labels pages conversations benchmark embeddings nation region".split()
 
 
 def sql_rows(sql, sf_dir):
