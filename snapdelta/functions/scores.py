@@ -72,26 +72,24 @@ def bit_distance(a: str, b: str) -> int:
     a, b = a[: len(a) - low], b[: len(b) - low]
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return len(a)
-    width = len(b)
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    ones = int(b[::-1], 2)
+    letters = iter(a)
+    if all(bit in letters for bit in b):  # all of b in order, so the rest of a is put in
+        return len(a) - len(b)
+    # the longer one lies along the bits, so that there are fewer columns
+    width, last = len(a), len(a) - 1
+    full = (1 << width) - 1
+    ones = int(a[::-1], 2)
     places = {"0": full ^ ones, "1": ones}
     rise, fall, distance = full, 0, width
-    for c in a:
-        same = places[c]
-        down = same | fall
-        across = (((same & rise) + rise) ^ rise) | same
-        up = fall | full & ~(across | rise)
-        less = rise & across
-        if up & top:
-            distance += 1
-        elif less & top:
-            distance -= 1
-        up, less = up << 1 & full | 1, less << 1 & full
-        rise = less | full & ~(down | up)
-        fall = up & down
+    for c in b:
+        same = places[c] | fall
+        diagonal = ((((same & rise) + rise) ^ rise) | same) & full
+        up = fall | full ^ (rise | diagonal)
+        down = rise & diagonal
+        distance += (up >> last) - (down >> last)
+        up = up << 1 | 1
+        fall = up & diagonal
+        rise = (down << 1 | full ^ (up | diagonal)) & full
     return distance
 
 

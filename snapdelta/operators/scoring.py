@@ -86,7 +86,10 @@ def _with_parts(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _totalled(parts: DataFrame) -> DataFrame:
-    scored = parts.withColumn("code_score", code_score(edit_distance(F.col("x"), F.col("y"))))
+    """Few rows can take long to align, so they are dealt to more tasks than their bytes ask for."""
+    spark = parts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    scored = parts.repartition(tasks, "class_a", "class_b").withColumn("code_score", code_score(edit_distance(F.col("x"), F.col("y"))))
     return scored.withColumn("score", _total()).select("class_a", "class_b", *PARTS, "code_score", "score")
 
 
