@@ -8,61 +8,19 @@ and puts that setting back.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapdelta.sources.scratch import remove, shared_path
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_local_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a new local folder."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        # with its scheme, as readers outside Spark don't know the cluster's default file system
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
-        whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-        return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="snapdelta-")
-    return _local_root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends (if nothing has deleted it before)."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove_quietly, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def remove_quietly(spark: SparkSession, path: str) -> None:
-    """At the driver's end its JVM may be gone already; then the folder stays for the cluster's own cleaning."""
-    try:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-    except Exception:  # noqa: BLE001
-        pass
-
-
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """Holds a setting of the session for a job that is run inside, and puts the old one back."""
