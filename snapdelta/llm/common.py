@@ -1,9 +1,10 @@
 """Helpers that the operators of this subpackage share.
 
 Texts reach Python in Arrow batches, which Spark itself bounds by bytes
-(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster sets another), so the operators
-change no setting of the caller's session. ``written`` has shuffle files removed with its own job
-and puts that setting back.
+(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the cluster sets another). The operators make
+them smaller still: a setting of the session holds for the jobs that they run themselves, and for a
+lazy result as long as that result is alive (``small_batches``); then the caller's own value is back.
+``written`` also has shuffle files removed with its own job.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import os
 from collections.abc import Iterator
+from weakref import finalize
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from snapdelta.sources.scratch import remove, shared_path
 #: A word is a run of characters other than the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "256"
+
 
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
@@ -35,11 +39,40 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+_holders: dict[SparkSession, list] = {}  # how many results are alive, and the value before the first of them
+
+
+def _let_go(spark: SparkSession) -> None:
+    _holders[spark][0] -= 1
+    if not _holders[spark][0]:
+        before = _holders.pop(spark)[1]
+        with contextlib.suppress(Exception):  # a session that has ended
+            spark.conf.set(BATCH, before)
+
+
+def small_batches(result: DataFrame) -> DataFrame:
+    """``result``, with small Arrow batches as long as it is alive; where it is let go before it runs, batches are bounded by bytes alone."""
+    spark = result.sparkSession
+    if spark not in _holders:
+        _holders[spark] = [0, spark.conf.get(BATCH)]
+        spark.conf.set(BATCH, BATCH_ROWS)
+    _holders[spark][0] += 1
+    finalize(result, _let_go, spark).atexit = False
+    return result
+
+
+@contextlib.contextmanager
+def own_job(spark: SparkSession) -> Iterator[None]:
+    """For a job that an operator runs itself: small batches, and shuffle files that go with it."""
+    with setting(spark, CLEANUP, "true"), setting(spark, BATCH, BATCH_ROWS):
+        yield
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes ``df`` into the shared folder and reads it back; its shuffle files go with the job."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with setting(spark, CLEANUP, "true"):
+    with own_job(spark):
         df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path  # for drop_written

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.llm.common import fixed_numbers, quiet_threads, text_of
+from snapdelta.llm.common import fixed_numbers, own_job, quiet_threads, small_batches, text_of
 
 DIMENSIONS, BITS, HASHED = 3, 16, 1 << 12
 SPREAD = 0.5  # projections of vectors of shares lie well inside -SPREAD..SPREAD
@@ -104,7 +104,8 @@ def range_bounds(rows: DataFrame, range_bytes: int, least_bytes: int, sampled: i
     for wanted in (sampled, None):
         share = min(1.0, (wanted or each * ranges) / max(1, n))  # noqa: F821  the second time the first sample has told
         picked = rows if share == 1.0 else rows.sample(share, seed=17)
-        seen = picked.select(curve_order(F.col("text"), F.col("tie")).alias("o"), F.octet_length("text").alias("b")).collect()
+        with own_job(rows.sparkSession):
+            seen = picked.select(curve_order(F.col("text"), F.col("tie")).alias("o"), F.octet_length("text").alias("b")).collect()
         whole = sum(r["b"] + 1 for r in seen) / share
         least = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(whole // least_bytes))
         ranges = max(1, least, int(-(-whole // range_bytes)))
@@ -268,4 +269,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
         if open_:
             yield out(rest())
 
-    return ordered.mapInArrow(run, schema)
+    return small_batches(ordered.mapInArrow(run, schema))

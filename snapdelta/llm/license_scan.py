@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import text_of
+from snapdelta.llm.common import small_batches, text_of
 
 #: SPDX identifiers and the names that notices call licenses by.
 NAMES = (
@@ -260,4 +260,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
         return pd.DataFrame(out, columns=["n_blocks", "n_confirmed", "licenses", "best_saved", "changes"])
 
     body = text_of(text)
-    return df.select(F.col(id_col), F.when(body.rlike(CUE), body).alias("__b")).select(id_col, run("__b").alias("__r")).select(id_col, "__r.*")
+    cued = df.select(F.col(id_col).alias("id"), F.when(body.rlike(CUE), body).alias("body"))
+    return small_batches(cued.select("id", run("body").alias("found")).select(F.col("id").alias(id_col), "found.*"))

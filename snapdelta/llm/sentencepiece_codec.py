@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapdelta.llm.common import small_batches
+
 _SPACE, _MARK = 0x20, "▁".encode()
 _USER_DEFINED = 4
 
@@ -249,7 +251,7 @@ def transcode(df: DataFrame, model_path: str, text: str = "text", keep: list[str
             kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.IntegerType()): pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[c], kinds[OUTPUTS[c]]) for c in emit)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source.mapInArrow(run, schema))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -260,4 +262,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decode
         tool = codec(model_path)
         return column.map(lambda x: None if x is None else tool.decode([int(i) for i in x]))
 
-    return df.withColumn(into, run(df[ids]))
+    return small_batches(df.withColumn(into, run(df[ids])))

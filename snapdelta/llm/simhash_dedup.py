@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import drop_written, join_spread, rows_of, text_of, unpacked, written
+from snapdelta.llm.common import drop_written, join_spread, rows_of, small_batches, text_of, unpacked, written
 from snapdelta.llm.components import connected_components
 
 POSITIONS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
@@ -224,4 +224,4 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     unsure = rows.where(F.col("id").isNull()).unionByName(rows.join(others, F.col("id") == F.col("low"), "left_semi"))
     body = F.coalesce(F.col("row").getField(text), F.lit(""))
     found = with_fingerprint(unsure.withColumn("body", body), "body", "fp").join(others, (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("low")), "left_semi")
-    return unpacked(kept.unionByName(found.dropDuplicates(["id", "fp"]).select("row", "id")))
+    return small_batches(unpacked(kept.unionByName(found.dropDuplicates(["id", "fp"]).select("row", "id"))))

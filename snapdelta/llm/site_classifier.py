@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import bounded_sample, drop_written, join_spread, rows_of, text_of, unpacked, written
+from snapdelta.llm.common import bounded_sample, drop_written, join_spread, own_job, rows_of, small_batches, text_of, unpacked, written
 
 MARKS = string.punctuation
 FEATURES = ["log_words", "distinct", "common_word", "word_length", "line_length", "upper", "digit", "wide", "shouted", "unlettered", *(f"mark {m}" for m in MARKS), "tail_upper", "tail_digit", "tail_mark"]
@@ -111,7 +111,8 @@ def fit(df: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str
     # an id that occurs in many rows counts once, too
     own = df.select(F.col(id_col).alias("id"), text_of(text).alias("body"))
     rows = own.join(F.broadcast(local), F.col("id") == F.col("key")).select("key", "label", measured("body").alias("x"))
-    found = rows.groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key").collect()
+    with own_job(df.sparkSession):
+        found = rows.groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key").collect()
     if not found:
         return EVEN
     return train(np.array([r["x"] for r in found]), np.array([float(r["label"] > 0) for r in found]))
@@ -175,7 +176,8 @@ def with_posterior(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _local(sites: DataFrame, max_sites: int) -> DataFrame | None:
     """The sites as a broadcast table if there are at most ``max_sites``."""
-    rows = sites.limit(max_sites + 1).collect()
+    with own_job(sites.sparkSession):
+        rows = sites.limit(max_sites + 1).collect()
     return F.broadcast(sites.sparkSession.createDataFrame(rows, sites.schema)) if len(rows) <= max_sites else None
 
 
@@ -214,7 +216,7 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.2, max_labe
     local = _local(sites, max_sites)
     if local is not None:
         rows = rows_of(df, path=keys["path"], body=body).select("row", "path", evidence(model, F.col("body")).alias("p"))
-        return unpacked(with_posterior(rows.join(local, "path"), threshold).where("kept"))
+        return small_batches(unpacked(with_posterior(rows.join(local, "path"), threshold).where("kept")))
     digest = F.sha2(F.concat(keys["path"], F.lit("\n"), body), 256)
     scored = written(df.select(keys["host"].alias("host"), keys["path"].alias("path"), evidence(model, body).alias("p"), digest.alias("digest")), "evidence")
     rejected = written(_judged(scored, max_sites, threshold).where("not kept").select("digest").distinct(), "rejected")

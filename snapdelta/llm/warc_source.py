@@ -37,7 +37,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from snapdelta.llm.common import drop_written, join_spread, written
+from snapdelta.llm.common import drop_written, join_spread, own_job, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, payload_digest string, content_length long, headers map<string,string>, payload binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -353,7 +353,8 @@ def read_warc(spark: SparkSession, folder: str, payload: bool | str = True) -> D
 
 def write_warc(df: DataFrame, folder: str, compression: str = "gzip", roll_bytes: int = 256 << 20) -> None:
     register(df.sparkSession)
-    df.select(*NAMES).write.format("warc").mode("append").option("compression", compression).option("rollbytes", str(roll_bytes)).save(folder)
+    with own_job(df.sparkSession):
+        df.select(*NAMES).write.format("warc").mode("append").option("compression", compression).option("rollbytes", str(roll_bytes)).save(folder)
 
 
 def _uri(key: Column) -> Column:

@@ -35,6 +35,22 @@ def test_settings_come_back(spark):
     C.drop_written(out)
 
 
+def test_small_batches_end_with_their_results(spark):
+    import gc
+
+    before = spark.conf.get(C.BATCH)
+    a, b = C.small_batches(spark.range(3)), C.small_batches(spark.range(4))
+    assert spark.conf.get(C.BATCH) == C.BATCH_ROWS
+    with C.own_job(spark):
+        assert spark.conf.get(C.CLEANUP) == "true"
+    del a
+    gc.collect()
+    assert spark.conf.get(C.BATCH) == C.BATCH_ROWS and b.count() == 4
+    del b
+    gc.collect()
+    assert spark.conf.get(C.BATCH) == before
+
+
 def test_spread_join_equals_join(spark):
     rows = spark.range(3000).selectExpr("if(id < 2000, 7, id % 5) AS k", "id AS v")
     one = spark.createDataFrame([(k, f"n{k}") for k in range(9)], "k long, name string")
