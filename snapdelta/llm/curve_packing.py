@@ -128,7 +128,7 @@ _MARKS = tuple(bytes([c]) for c in b".,;:!?")
 class Tokens:
     """Ids of a text as little-endian 32-bit bytes, with a bounded memory of stretches seen before."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 200_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -268,5 +268,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
                 yield out(done)
         if open_:
             yield out(rest())
+        pa.default_memory_pool().release_unused()  # the worker lives on for tasks of other kinds
 
     return small_batches(ordered.mapInArrow(run, schema))

@@ -221,7 +221,9 @@ def keep_one_per_group(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     plain, others = survivors.where("not several"), survivors.where("several")
     rows = rows_of(df, id=F.col(id_col))
     kept = rows.join(plain, F.col("id") == F.col("low"), "left_semi").dropDuplicates(["id"])
-    unsure = rows.where(F.col("id").isNull()).unionByName(rows.join(others, F.col("id") == F.col("low"), "left_semi"))
+    if others.isEmpty():  # each id that stands for a group has one text
+        return unpacked(kept)
+    unsure = written(rows.where(F.col("id").isNull()).unionByName(rows.join(others, F.col("id") == F.col("low"), "left_semi")), "simhash-unsure")
     body = F.coalesce(F.col("row").getField(text), F.lit(""))
     found = with_fingerprint(unsure.withColumn("body", body), "body", "fp").join(others, (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("low")), "left_semi")
     return small_batches(unpacked(kept.unionByName(found.dropDuplicates(["id", "fp"]).select("row", "id"))))
