@@ -128,7 +128,7 @@ _MARKS = tuple(bytes([c]) for c in b".,;:!?")
 class Tokens:
     """Ids of a text as little-endian 32-bit bytes, with a bounded memory of stretches seen before."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 450_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
