@@ -73,13 +73,17 @@ def _dup_lines(text: Column) -> Column:
 
 
 def _with_counts(df: DataFrame) -> DataFrame:
-    """Adds the words of ``__body`` and the counts that the histograms are made of, each computed once."""
+    """Adds the words of ``__body`` and the counts that the histograms are made of, each computed once.
+
+    One pass leaves the few characters of upper case, digits and marks; those are told apart in what is left.
+    """
     body = F.col("__body")
-    marked = df.withColumns({"__words": words_of(body), "__marks": _without(body, r"\P{Punct}+")})
+    few = df.withColumns({"__words": words_of(body), "__few": _without(body, r"[^A-Z0-9\p{Punct}]+")})
+    marked = few.withColumns({"__marks": _without(F.col("__few"), "[A-Z0-9]+"), "__digits": _without(F.col("__few"), "[^0-9]+")})
     return marked.withColumns({
         "__n": F.size("__words").cast("long"), "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "__symbols": F.length(_without(F.col("__marks"), "[^#*$%&|<>]+")).cast("long"), "__mark_count": F.length("__marks").cast("long"),
-        "__upper": F.length(_without(body, "[^A-Z]+")).cast("long"), "__digit": F.length(_without(body, "[^0-9]+")).cast("long"),
+        "__upper": (F.length("__few") - F.length("__marks") - F.length("__digits")).cast("long"), "__digit": F.length("__digits").cast("long"),
         "__chars": F.length(body).cast("long"), "__bytes": F.octet_length(body).cast("long"),
     })
 
