@@ -17,6 +17,7 @@ clash. An empty table has no rows.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from snapdelta.llm.common import SPACES, let, rows_of, text_of, unpacked
 
 CLASSES = ["other", "upper", "digit", "space", "symbol", "punctuation", "wide"]
 WINDOW = 5
+#: Upper case, digits and marks one by one: the JVM looks such a class up in a table, while it tries ranges in turn.
+_FEW = "".join(c if c.isalnum() else "\\" + c for c in string.ascii_uppercase + string.digits + string.punctuation)
 
 
 @dataclass(frozen=True)
@@ -78,7 +81,7 @@ def _with_counts(df: DataFrame) -> DataFrame:
     One pass leaves the few characters of upper case, digits and marks; those are told apart in what is left.
     """
     body = F.col("__body")
-    few = df.withColumns({"__words": words_of(body), "__few": _without(body, r"[^A-Z0-9\p{Punct}]+")})
+    few = df.withColumns({"__words": words_of(body), "__few": _without(body, f"[^{_FEW}]+")})
     marked = few.withColumns({"__marks": _without(F.col("__few"), "[A-Z0-9]+"), "__digits": _without(F.col("__few"), "[^0-9]+")})
     return marked.withColumns({
         "__n": F.size("__words").cast("long"), "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
