@@ -318,3 +318,30 @@ def test_queries_let_go_of_what_they_keep(spark):
     del result
     gc.collect()
     assert kept() <= before
+
+
+def test_results_are_whole_without_what_was_kept(spark):
+    """Of a result that is gone when a frame made from it runs, and after the cache was cleared."""
+    import gc
+
+    from snapdelta.plans.queries import QUERIES
+
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    d = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    gc.collect()
+    before = kept()
+    derived = QUERIES["jaccard"](spark, d).select("class_a", "class_b", "jaccard")
+    gc.collect()
+    got = rows(derived)
+    assert got and kept() > before
+    spark.catalog.clearCache()
+    assert rows(derived.select("*")) == got
+    del derived
+    gc.collect()
+    left = kept()
+    deleted = QUERIES["deleted_anti"](spark, d)
+    assert deleted.count() >= 0 and kept() > left
+    del deleted
+    gc.collect()
+    assert kept() == left
