@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.functions.scores import avg_or_zero, code_score, code_sequence, count_penalty, edit_distance, jaccard, mean_penalty, snap
+from snapdelta.functions.scores import avg_or_zero, bit_distance, code_score, code_sequence, count_penalty, jaccard, least_distance, mean_penalty, snap, stretches
 from snapdelta.operators.features import kinds, members, peer_access, peers
 
 
@@ -80,37 +84,83 @@ def _total() -> Column:
     return snap(F.col("fields_score") + F.col("class_score") + F.col("method_score") + F.col("code_score"))
 
 
-def _with_parts(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(class_a, class_b, three sub-scores, x, y): what the total needs, with the bits of both codes."""
-    x, y = _pair("code")
-    return attach(pairs, a, b).select("class_a", "class_b", *(f().alias(n) for n, f in PARTS.items()), x.alias("x"), y.alias("y"))
+#: Scores that differ by less can come out equal: of those near one, and of those that agree in nine decimals.
+NEAR = 2e-7
+#: Pairs of a class that are aligned one after the other; a class with more is dealt to several tasks.
+ALIGNED = 256
 
 
-def _totalled(parts: DataFrame) -> DataFrame:
-    """Few rows can take long to align, so they are dealt to more tasks than their bytes ask for."""
+def _with_parts(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(class_a, class_b, three sub-scores, same, n_x, n_y): codes stay behind, but for whether they are the same, and their lengths."""
+    seen = lambda df: df.withColumns({"code_id": F.unhex(F.sha2("code", 256)), "code_bits": F.length("code")}).drop("code")
+    (x, y), (n_x, n_y) = _pair("code_id"), _pair("code_bits")
+    return attach(pairs, seen(a), seen(b)).select("class_a", "class_b", *(f().alias(n) for n, f in PARTS.items()), (x == y).alias("same"), n_x.alias("n_x"), n_y.alias("n_y"))
+
+
+def _distances(prune: bool):
+    """Distances of rows that come by class, the most promising first; with ``prune`` a pair that can't reach its class's best is left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best, own = None, 0.0, None
+        for batch in batches:
+            found: list[int] = []
+            for key, same, x, y, base, upper, floor in zip(batch.class_a, batch.same, batch.x, batch.y, batch.base, batch.upper, batch.best, strict=True):
+                if key != at:
+                    at, best, own = key, floor, None
+                best = max(best, floor)
+                distance = 0 if same else -1
+                if not same and not (prune and upper < best - NEAR):
+                    if prune:
+                        own = stretches(x) if own is None else own
+                        least = max(1, least_distance(own, stretches(y), abs(len(x) - len(y))))
+                    if not prune or base + 0.12 / least**0.5 >= best - NEAR:
+                        distance = bit_distance(x, y)
+                if distance >= 0:
+                    best = max(best, base + (0.12 / distance**0.5 if distance else 0.15))
+                found.append(distance)
+            out = batch[["class_a", "class_b", *PARTS]].assign(distance=np.array(found, "int32"))
+            yield out[out.distance >= 0]
+
+    return run
+
+
+def _totalled(parts: DataFrame, a: DataFrame, b: DataFrame, prune: bool) -> DataFrame:
+    """Codes are attached last, and only to pairs of different ones. Few rows can take long to align, so they
+    are dealt to more tasks than their bytes ask for."""
     spark = parts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    scored = parts.repartition(tasks, "class_a", "class_b").withColumn("code_score", code_score(edit_distance(F.col("x"), F.col("y"))))
-    return scored.withColumn("score", _total()).select("class_a", "class_b", *PARTS, "code_score", "score")
+    part = F.pmod(F.xxhash64("class_b"), F.ceil(F.count("*").over(Window.partitionBy("class_a")) / ALIGNED)).cast("int")
+    rows = parts.withColumn("part", part)
+    keys = ["class_a", "part"]
+    left = rows.join(b.select(F.col("class_name").alias("class_b"), F.col("code").alias("y")), "class_b").withColumn("y", F.when(~F.col("same"), F.col("y")))
+    right = rows.where(~F.col("same")).select(*keys).distinct().join(a.select(F.col("class_name").alias("class_a"), F.col("code").alias("x")), "class_a")
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys, "left").withColumn("x", F.when(~F.col("same"), F.col("x")))
+    dealt = met.sortWithinPartitions(*keys, F.desc("upper"), "class_b")
+    kinds = "class_a string, class_b string, fields_score double, class_score double, method_score double, distance int"
+    scored = dealt.select("class_a", "class_b", *PARTS, "same", "x", "y", "base", "upper", "best").mapInPandas(_distances(prune), kinds)
+    return scored.withColumn("code_score", code_score(F.col("distance"))).withColumn("score", _total()).select("class_a", "class_b", *PARTS, "code_score", "score")
+
+
+def _bounded(parts: DataFrame) -> DataFrame:
+    """With bounds of each pair's total, and the best lower one of its class: the distance lies between the difference and the greater of the lengths."""
+    base = F.col("fields_score") + F.col("class_score") + F.col("method_score")
+    gap, most = F.abs(F.col("n_x") - F.col("n_y")), F.greatest("n_x", "n_y")
+    upper = base + F.when(F.col("same"), 0.15).otherwise(0.12 / F.sqrt(F.greatest(gap, F.lit(1))))
+    lower = base + F.when(F.col("same"), 0.15).otherwise(0.12 / F.sqrt(most))
+    bounds = parts.withColumns({"base": base, "upper": upper, "lower": lower})
+    return bounds.withColumn("best", F.max("lower").over(Window.partitionBy("class_a")))
 
 
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(class_a, class_b, the four sub-scores, score); ``a`` and ``b`` come from ``score_features``."""
-    return _totalled(_with_parts(pairs, a, b))
+    return _totalled(_bounded(_with_parts(pairs, a, b)), a, b, False)
 
 
 def score_contenders(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """``score_pairs`` of the pairs that can be a class's best; only those are aligned.
 
-    The distance lies between the difference and the greater of the lengths, which bounds the total
-    from both sides; pairs whose upper bound is below their class's best lower bound are left out.
-    Features are attached once.
+    Pairs whose upper bound is below their class's best lower bound are left out before codes are attached. Of
+    the rest a class's pairs are aligned the most promising first, and a pair is left out if the stretches of its codes
+    show that it can't reach the best so far. Features are attached once.
     """
-    parts = _with_parts(pairs, a, b)
-    x, y = F.col("x"), F.col("y")
-    base = F.col("fields_score") + F.col("class_score") + F.col("method_score")
-    gap, most = F.abs(F.length(x) - F.length(y)), F.greatest(F.length(x), F.length(y))
-    upper = base + F.when(x == y, 0.15).otherwise(0.12 / F.sqrt(F.greatest(gap, F.lit(1))))
-    lower = base + F.when(x == y, 0.15).otherwise(0.12 / F.sqrt(most))
-    best = F.max(lower).over(Window.partitionBy("class_a"))
-    return _totalled(parts.withColumn("best", best).where(upper >= F.col("best") - 1e-8))
+    return _totalled(_bounded(_with_parts(pairs, a, b)).where(F.col("upper") >= F.col("best") - NEAR), a, b, True)
