@@ -51,13 +51,18 @@ class Diff:
     def scored(self) -> DataFrame:
         return score_pairs(self.pairs, self.features("a"), self.features("b"))
 
+    @cached_property
+    def contenders(self) -> DataFrame:
+        return score_contenders(self.pairs, self.features("a"), self.features("b"))
+
     @cached_property
     def best(self) -> DataFrame:
-        found = best_match(score_contenders(self.pairs, self.features("a"), self.features("b")))
+        found = best_match(self.contenders)
         return found if self.config.threshold is None else found.where(F.col("score") >= self.config.threshold)
 
     def best_above(self, threshold: float) -> DataFrame:
-        return best_above(self.scored, threshold)
+        """Of the contenders: a best candidate with at least the threshold is among them."""
+        return best_above(self.contenders, threshold)
 
     @cached_property
     def deleted(self) -> DataFrame:

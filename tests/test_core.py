@@ -355,3 +355,27 @@ def test_method_score_sums_as_its_sql_does(spark):
     a, b = side(("x",), every, (), ("u",)), side(("y",), ("0",), (), ("u",))
     row = spark.range(1).select(a.alias("a"), b.alias("b")).select(scores.micro(scoring.method_score()).alias("x")).first()
     assert row.x == 162188
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("01", min_size=1, max_size=90), st.text("01", min_size=1, max_size=90))
+def test_least_distance(a, b):
+    for x, y in ((a, b), (a, a[: len(a) // 2] + b + a[len(a) // 2 :])):
+        assert scores.least_distance(scores.stretches(x), scores.stretches(y), abs(len(x) - len(y))) <= scores.bit_distance(x, y)
+
+
+def test_best_above_aligns_contenders_only(spark):
+    rng = random.Random(5)
+    bits = lambda n: "".join(rng.choices("01", k=n))
+    diff = Diff(load(spark, "/root/testdata/sf0.001"))
+    first = diff.features("a").limit(1).drop("class_name", "code")
+    codes = lambda names, n: first.crossJoin(spark.createDataFrame([(x, bits(n + 400 * i)) for i, x in enumerate(names)], "class_name string, code string"))
+    a, b = codes(["p", "q"], 3000), codes([f"c{i}" for i in range(6)], 3000)
+    pairs = spark.createDataFrame([(x, f"c{i}") for x in "pq" for i in range(6)], "class_a string, class_b string")
+    every, some = scoring.score_pairs(pairs, a, b), scoring.score_contenders(pairs, a, b)
+    want = sorted(matching.best_above(every, 0.5).collect())
+    assert every.count() == 12 and 2 <= some.count() < 12 and len(want) == 2
+    assert sorted(matching.best_above(some, 0.5).collect()) == want
+    assert sorted(diff.best_above(0.5).collect()) == sorted(matching.best_above(diff.scored, 0.5).collect())
+    assert diff.contenders.count() <= diff.scored.count()
+    diff.release()
