@@ -379,3 +379,25 @@ def test_best_above_aligns_contenders_only(spark):
     assert sorted(diff.best_above(0.5).collect()) == sorted(matching.best_above(diff.scored, 0.5).collect())
     assert diff.contenders.count() <= diff.scored.count()
     diff.release()
+
+
+@pytest.mark.parametrize("columns", [3, scores.COLUMNS])
+def test_band_distance(monkeypatch, columns):
+    """Exact where the band is wide enough for the distance found, never too low, and of strings longer than one cut."""
+    monkeypatch.setattr(scores, "COLUMNS", columns)
+    rng = random.Random(11)
+    bits = lambda n: "".join(rng.choices("01", k=n))
+    narrow = 0
+    for _ in range(150):
+        a = bits(rng.randint(20, 120))
+        b = rng.choice([bits(rng.randint(1, len(a))), a[rng.randint(1, 9) :] + bits(1), a[len(a) // 2 :] + a[: len(a) // 2]])
+        want, gap = plain_distance(a, b), len(a) - len(b)
+        for edge in (0, 1, 4, 12, len(b)):
+            got = scores._band_distance(a, b, edge)
+            assert got >= want and (got == want or got - gap > 2 * edge + 1)
+            narrow += got > want
+        assert scores.bit_distance(a, b) == scores.bit_distance(b, a) == want
+    assert narrow
+    a = bits(1500)
+    for b in (a[40:700] + bits(9) + a[720:] + bits(5), bits(1400), bits(300) + a[:900], a[750:] + a[:750]):
+        assert scores.bit_distance(a, b) == plain_distance(a, b)
