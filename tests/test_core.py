@@ -401,3 +401,21 @@ def test_band_distance(monkeypatch, columns):
     a = bits(1500)
     for b in (a[40:700] + bits(9) + a[720:] + bits(5), bits(1400), bits(300) + a[:900], a[750:] + a[:750]):
         assert scores.bit_distance(a, b) == plain_distance(a, b)
+
+
+def test_codes_that_meet_again_are_aligned_once(spark):
+    """Three classes with one code against four with another, and the other way round: one distance of two codes."""
+    diff = Diff(load(spark, "/root/testdata/sf0.001"))
+    first = diff.features("a").limit(1).drop("class_name", "code")
+    side = lambda rows: first.crossJoin(spark.createDataFrame(rows, "class_name string, code string"))
+    x, y = "1" + "0110" * 50, "1" + "0111" * 60
+    a = side([("a0", x), ("a1", x), ("a2", x), ("a3", y)])
+    b = side([("b0", y), ("b1", y), ("b2", y), ("b3", y), ("b4", x)])
+    pairs = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(4) for j in range(5)], "class_a string, class_b string")
+    want = plain_distance(x, y)
+    assert [r.distance for r in scoring._code_distances(pairs, a, b).collect()] == [want]
+    got = {(r.class_a, r.class_b): r.code_score for r in scoring.score_pairs(pairs, a, b).collect()}
+    assert len(got) == 20
+    for (p, q), score in got.items():
+        assert score == (0.15 if (p == "a3") != (q == "b4") else 0.12 / want**0.5)
+    diff.release()
