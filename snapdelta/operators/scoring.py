@@ -94,7 +94,7 @@ def _code_id() -> Column:
     return F.unhex(F.sha2("code", 256))
 
 
-def _with_parts(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+def sub_scores(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(class_a, class_b, three sub-scores, same, n_x, n_y, low_id, high_id): codes stay behind, but for whether they
     are the same, their lengths and their digests, the smaller one first."""
     seen = lambda df: df.withColumns({"code_id": _code_id(), "code_bits": F.length("code")}).drop("code")
@@ -176,7 +176,7 @@ def _bounded(parts: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(class_a, class_b, the four sub-scores, score); ``a`` and ``b`` come from ``score_features``."""
-    parts = _with_parts(pairs, a, b).join(_code_distances(pairs, a, b), ["low_id", "high_id"], "left")
+    parts = sub_scores(pairs, a, b).join(_code_distances(pairs, a, b), ["low_id", "high_id"], "left")
     return _totalled(parts.withColumn("distance", F.when(F.col("same"), 0).otherwise(F.col("distance"))))
 
 
@@ -187,4 +187,4 @@ def score_contenders(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     the rest a class's pairs are aligned the most promising first, and a pair is left out if the stretches of its codes
     show that it can't reach the best so far. Features are attached once.
     """
-    return _totalled(_aligned(_bounded(_with_parts(pairs, a, b)).where(F.col("upper") >= F.col("best") - NEAR), a, b))
+    return _totalled(_aligned(_bounded(sub_scores(pairs, a, b)).where(F.col("upper") >= F.col("best") - NEAR), a, b))

@@ -14,7 +14,7 @@ from snapdelta.operators.features import COMPONENTS, unmapped_opcodes
 from snapdelta.operators.filters import is_empty, is_excluded, without_excluded
 from snapdelta.operators.matching import added, best_above, best_match, candidate_report, deleted, name_absent, summary
 from snapdelta.operators.near_dup import near_dup_join, with_signature
-from snapdelta.operators.scoring import score_columns, score_contenders, score_pairs
+from snapdelta.operators.scoring import score_columns, score_contenders, score_pairs, sub_scores
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,11 @@ class Diff:
     def features(self, snapshot: str) -> DataFrame:
         return self.side(snapshot).drop("snapshot", "unmapped", *COMPONENTS)
 
+    @cached_property
+    def sub_scored(self) -> DataFrame:
+        """Pairs with the sub-scores that need no code."""
+        return sub_scores(self.pairs, self.features("a"), self.features("b"))
+
     @cached_property
     def scored(self) -> DataFrame:
         return score_pairs(self.pairs, self.features("a"), self.features("b"))

@@ -17,7 +17,7 @@ from snapdelta.operators import matching
 from snapdelta.operators.features import BAGS, members
 from snapdelta.operators.filters import is_empty, is_excluded
 from snapdelta.operators.near_dup import blocks, native_components, signature_hex, with_signature
-from snapdelta.operators.scoring import attach
+from snapdelta.operators.scoring import PARTS, attach
 from snapdelta.plans.diff import Diff
 from snapdelta.plans.oracle import EXCLUDED
 from snapdelta.schema import ROOT
@@ -165,7 +165,8 @@ def sequence_query(spark: SparkSession, d: str) -> DataFrame:
 def _scored(*parts: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         diff = _diff(spark, d)
-        return _kept_for(diff.scored.select("class_a", "class_b", *(micro(F.col(p)).alias(p) for p in parts)), diff)
+        scored = diff.sub_scored if PARTS.keys() >= set(parts) else diff.scored
+        return _kept_for(scored.select("class_a", "class_b", *(micro(F.col(p)).alias(p) for p in parts)), diff)
 
     return run
 
