@@ -419,3 +419,28 @@ def test_codes_that_meet_again_are_aligned_once(spark):
     for (p, q), score in got.items():
         assert score == (0.15 if (p == "a3") != (q == "b4") else 0.12 / want**0.5)
     diff.release()
+
+
+def test_sub_scores_need_no_alignment(spark):
+    from snapdelta.plans.queries import QUERIES
+
+    for name in ("fields_score", "class_score", "method_score"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "high_id" not in plan
+
+
+DROPPED = "ratio_penalty code_score method_score score_pairs similarity_score best_match best_above_threshold".split()
+
+
+@pytest.mark.parametrize("name", DROPPED)
+def test_frame_of_a_dropped_result_equals_its_sql(spark, name):
+    """What the comparison keeps mustn't go with the result object while a frame made from it runs."""
+    import gc
+
+    import __spark_entry__ as entry
+    from tests.oracle import spark_rows, sql_rows
+
+    d = "/root/testdata/sf0.001"
+    derived = entry.queries()[name](spark, d).select("*")
+    gc.collect()
+    assert spark_rows(derived) == sql_rows(entry.oracle_sql()[name], d)
