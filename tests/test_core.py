@@ -444,3 +444,47 @@ def test_frame_of_a_dropped_result_equals_its_sql(spark, name):
     derived = entry.queries()[name](spark, d).select("*")
     gc.collect()
     assert spark_rows(derived) == sql_rows(entry.oracle_sql()[name], d)
+
+
+@pytest.mark.parametrize("lanes", [True, False])
+def test_jvm_distance(spark, lanes):
+    """Both inner loops, along bands narrow and wide; never too low where the band is too narrow."""
+    from snapdelta.functions import bits
+
+    made = bits.compiled(spark, lanes).getClassLoader().loadClass("snapdelta.BitDistance").newInstance()
+    rng = random.Random(17)
+    draw = lambda n: "".join(rng.choices("01", k=n))
+    edited = lambda a, x: "".join(c if rng.random() > x else rng.choice(["", "0", "1", "01"]) for c in a)
+    for n in (0, 1, 2, 63, 64, 65, 127, 128, 129, 300, 700):
+        a = draw(n)
+        for b in (a, "", draw(1), draw(n), draw(n // 2), edited(a, 0.1), edited(a, 0.5), a[n // 2 :] + a[: n // 2], a[n // 3 :] + draw(40)):
+            assert made.distance(a.encode(), b.encode()) == made.distance(b.encode(), a.encode()) == plain_distance(a, b)
+    for n in (2000, 6000, 9000):
+        a = draw(n)
+        for b in (draw(n - 300), edited(a, 0.05), edited(a, 0.3), a[1000:] + draw(900), draw(70)):
+            assert made.distance(a.encode(), b.encode()) == scores.bit_distance(a, b)
+    words = lambda a: spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, len(a) // 64 + 17)
+    narrow = 0
+    for _ in range(25):
+        a = draw(rng.randint(300, 900))
+        b = edited(draw(9) + a, 0.2)[: len(a)]
+        ones, columns = words(a), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, len(b) + 16)
+        for k in range(0, len(a), 64):
+            value = int(a[k : k + 64][::-1], 2)
+            ones[k // 64] = value - (1 << 64) if value >> 63 else value
+        for j, c in enumerate(b, 1):
+            columns[len(b) - j] = 0 if c == "1" else -1
+        want, gap = plain_distance(a, b), len(a) - len(b)
+        for edge in (1, 8, 40, len(b)):
+            got = made.along(ones, columns, len(a), len(b), edge)
+            assert got >= want and (got == want or got - gap > 2 * edge + 1)
+            narrow += got > want
+    assert narrow
+
+
+def test_alignments_run_in_the_jvm(spark):
+    """Python's whole numbers took twenty times as long for all pairs' distances."""
+    rows = [("0" * 40 + "1", "1"), (None, "1"), ("10", None), ("0110", "0110")]
+    df = spark.createDataFrame(rows, "a string, b string").select(scores.edit_distance(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == [40, None, None, 0]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
