@@ -45,7 +45,7 @@ def class_features() -> Column:
     repeated = lambda word, n: F.array_repeat(F.lit(word), n)
     refs = lambda c: _optional(F.size(c) > 0, F.concat(F.array(_text(peers(F.col(c)))), kinds(F.col(c))))
     return _bag(
-        F.filter(F.split("access_flags", ""), lambda c: c != ""),
+        F.filter(F.split(F.coalesce("access_flags", F.lit("")), ""), lambda c: c != ""),
         F.array(_text(F.size(members("methods", "declared")))),
         F.when(n_fields > 0, repeated("has_fields", 3)).otherwise(repeated("no_fields", 1)),
         F.array(_text(n_fields)),

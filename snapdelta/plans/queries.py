@@ -51,6 +51,16 @@ def _diff(spark: SparkSession, d: str) -> Diff:
     return Diff(load(spark, d))
 
 
+def _keyed_diff(spark: SparkSession, d: str) -> Diff:
+    """Of classes named by name and id, as a name can be null or that of two classes; ``_shown`` gives the names."""
+    classes = load(spark, d)
+    return Diff(classes.withColumn("class_name", F.concat(F.coalesce("class_name", F.lit("")), F.lit("\n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+
+
+def _shown(name: str) -> Column:
+    return F.nullif(F.left(name, F.length(name) - F.length(F.substring_index(name, "\n", -1)) - 1), F.lit("")).alias(name)
+
+
 def scan_classes(spark: SparkSession, d: str) -> DataFrame:
     size = lambda column, kind: F.size(members(column, kind)).cast("bigint")
     return load(spark, d).where("is_internal").select(
@@ -134,8 +144,8 @@ def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attached(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
-    diff = _diff(spark, d)
-    return _kept_for(attach(diff.pairs, diff.features("a"), diff.features("b")).select("class_a", "class_b", *columns), diff)
+    diff = _keyed_diff(spark, d)
+    return _kept_for(attach(diff.pairs, diff.features("a"), diff.features("b")).select(_shown("class_a"), _shown("class_b"), *columns), diff)
 
 
 def jaccard_query(spark: SparkSession, d: str) -> DataFrame:

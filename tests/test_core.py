@@ -522,7 +522,7 @@ def documents_dir(spark, folder, rows):
 TEXTS = [" ".join(f"{w}{i % 3}" for i in range(k)) + "\nsecond line of longestwordever" for w, k in (("alphabet", 9), ("signature", 14), ("x", 30))]
 
 
-@pytest.mark.parametrize("name", ["score_pairs"])
+@pytest.mark.parametrize("name", ["score_pairs", "ratio_penalty"])
 def test_large_ids_equal_sql(spark, tmp_path, name):
     """Half of an id beyond 2^53 was taken as a double, so classes got each other's names and rows."""
     import __spark_entry__ as entry
@@ -531,3 +531,15 @@ def test_large_ids_equal_sql(spark, tmp_path, name):
     d = documents_dir(spark, tmp_path, [((1 << 60) + i, TEXTS[i // 4], "en") for i in range(12)])
     got, want = spark_rows(entry.queries()[name](spark, d)), sql_rows(entry.oracle_sql()[name], d)
     assert want[1] and got == want
+
+
+@pytest.mark.parametrize("name", ["ratio_penalty"])
+def test_classes_without_a_name_equal_sql(spark, tmp_path, name):
+    """Classes without a language have no name: their rows were lost, and their class component was 0."""
+    import __spark_entry__ as entry
+    from tests.oracle import spark_rows, sql_rows
+
+    langs = [None, None, "en", "en", "e\nn", "", None, None]
+    d = documents_dir(spark, tmp_path, [(i, TEXTS[(i // 8) % 2], langs[i % 8]) for i in range(24)])
+    got, want = spark_rows(entry.queries()[name](spark, d)), sql_rows(entry.oracle_sql()[name], d)
+    assert any(None in r for r in want[1]) and got == want
