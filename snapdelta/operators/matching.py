@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ def name_absent(pairs: DataFrame, same: Column | None = None) -> DataFrame:
     return pairs.groupBy("class_a").agg(F.bool_or(own).alias("__own")).where(~F.col("__own")).select("class_a")
 
 
-def best_match(scored: DataFrame) -> DataFrame:
-    """(class_a, score, candidates): the best score with all ties, told on nine decimals; candidates sorted."""
+def best_match(scored: DataFrame, gather: Callable[[str], Column] = F.collect_set) -> DataFrame:
+    """(class_a, score, candidates): the best score with all ties, told on nine decimals; candidates sorted, by default each name once."""
     key = F.round("score", 9)
     rank = F.rank().over(Window.partitionBy("class_a").orderBy(key.desc()))
-    return scored.withColumn("__r", rank).where("__r = 1").groupBy("class_a").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("class_b")).alias("candidates"))
+    return scored.withColumn("__r", rank).where("__r = 1").groupBy("class_a").agg(F.max("score").alias("score"), F.sort_array(gather("class_b")).alias("candidates"))
 
 
 def best_above(scored: DataFrame, threshold: float) -> DataFrame:

@@ -182,8 +182,9 @@ def _scored(*parts: str) -> Query:
 
 
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    diff = _diff(spark, d)
-    return _kept_for(diff.best.select("class_a", micro(F.col("score")).alias("score"), F.array_join("candidates", ",").alias("candidates")), diff)
+    diff = _keyed_diff(spark, d)
+    best = matching.best_match(diff.contenders.withColumns({c: _shown(c) for c in ("class_a", "class_b")}), F.collect_list)
+    return _kept_for(best.select("class_a", micro(F.col("score")).alias("score"), F.nullif(F.array_join("candidates", ","), F.lit("")).alias("candidates")), diff)
 
 
 def best_above_threshold(spark: SparkSession, d: str) -> DataFrame:

@@ -522,7 +522,7 @@ def documents_dir(spark, folder, rows):
 TEXTS = [" ".join(f"{w}{i % 3}" for i in range(k)) + "\nsecond line of longestwordever" for w, k in (("alphabet", 9), ("signature", 14), ("x", 30))]
 
 
-@pytest.mark.parametrize("name", ["score_pairs", "ratio_penalty", "code_score", "similarity_score"])
+@pytest.mark.parametrize("name", ["score_pairs", "ratio_penalty", "code_score", "similarity_score", "best_match"])
 def test_large_ids_equal_sql(spark, tmp_path, name):
     """Half of an id beyond 2^53 was taken as a double, so classes got each other's names and rows."""
     import __spark_entry__ as entry
@@ -533,7 +533,7 @@ def test_large_ids_equal_sql(spark, tmp_path, name):
     assert want[1] and got == want
 
 
-@pytest.mark.parametrize("name", ["ratio_penalty", "code_score", "score_pairs", "similarity_score"])
+@pytest.mark.parametrize("name", ["ratio_penalty", "code_score", "score_pairs", "similarity_score", "best_match"])
 def test_classes_without_a_name_equal_sql(spark, tmp_path, name):
     """Classes without a language have no name: their rows were lost, and their class component was 0."""
     import __spark_entry__ as entry
