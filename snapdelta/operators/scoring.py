@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.functions.bits import packed, packed_distances
-from snapdelta.functions.scores import avg_or_zero, bit_distance, code_score, code_sequence, count_penalty, jaccard, least_distance, mean_penalty, snap, stretches
+from snapdelta.functions.bits import bags, best_distances, packed, packed_distances
+from snapdelta.functions.scores import avg_or_zero, code_score, code_sequence, count_penalty, jaccard, mean_penalty, snap
+from snapdelta.operators.tiles import SETS, scored
 from snapdelta.operators.features import kinds, members, peer_access, peers
 
 
@@ -91,39 +89,56 @@ NEAR = 2e-7
 ALIGNED = 256
 
 
+#: Classes of a side that a task holds in memory; and parts of a side at least, so that there are tasks enough.
+PART, PARTS_AT_LEAST = 25_000, 4
+
+
 def _code_id() -> Column:
-    return F.unhex(F.sha2("code", 256))
+    return F.substring(F.unhex(F.sha2("code", 256)), 1, 16)
+
+
+def small(features: DataFrame) -> DataFrame:
+    """Features with codes and sets packed, and the codes' lengths; those that are so already stay."""
+    if "sets" in features.columns and dict(features.dtypes)["code"] == "binary":
+        return features
+    spark, made = features.sparkSession, {}
+    if dict(features.dtypes)["code"] != "binary":
+        made = {"code": packed(spark, F.col("code")), "code_bits": F.length("code")}
+    if "sets" not in features.columns:
+        made["sets"] = bags(spark, *map(F.col, SETS))
+    return features.withColumns(made).drop(*SETS)
+
+
+def _tiles(pairs: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, pairs) by tile: a part of the one side against a part of the other. A class's features go to a tile
+    once, however many pairs it has there, so what is shuffled follows the classes and not the pairs."""
+    classes = F.greatest(*(F.approx_count_distinct(c) for c in ("class_a", "class_b")))
+    parts = pairs.agg(F.greatest(F.lit(PARTS_AT_LEAST), F.ceil(classes / PART)).cast("int").alias("parts"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    met = pairs.select("class_a", "class_b").crossJoin(F.broadcast(parts)).select("class_a", "class_b", (at("class_a") * F.col("parts") + at("class_b")).alias("tile"))
+    rows = []
+    for s, df in (("a", a), ("b", b)):
+        seen = small(df).withColumn("code_id", _code_id()).drop("code")
+        rows.append(met.select(F.col(f"class_{s}").alias("class_name"), "tile").distinct().join(seen, "class_name").withColumn("side", F.lit(s)))
+    return rows[0].unionByName(rows[1]), met
+
+
+def _in_tiles(pairs: DataFrame, a: DataFrame, b: DataFrame, *, ids: bool = False, near: float | None = None) -> DataFrame:
+    """(class_a, class_b, three sub-scores, same, n_x, n_y), with ``ids`` also the codes' digests, the smaller one first.
+    With ``near`` without the pairs whose upper bound is below the best lower one that their class has in a tile by more."""
+
+    def run(features: pa.Table, met: pa.Table) -> pa.Table:
+        return scored(features, met, ids, near)
+
+    features, met = _tiles(pairs, a, b)
+    kinds = "class_a string, class_b string, fields_score double, class_score double, method_score double, same boolean, n_x int, n_y int" + ", low_id binary, high_id binary" * ids
+    own = features.withColumn("at", F.col("tile")).drop("tile")  # both come from the pairs, and a name has to tell them apart
+    return own.groupBy("at").cogroup(met.groupBy("tile")).applyInArrow(run, kinds)
 
 
 def sub_scores(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(class_a, class_b, three sub-scores, same, n_x, n_y, low_id, high_id): codes stay behind, but for whether they
-    are the same, their lengths and their digests, the smaller one first."""
-    seen = lambda df: df.withColumns({"code_id": _code_id(), "code_bits": F.length("code")}).drop("code")
-    (x, y), (n_x, n_y) = _pair("code_id"), _pair("code_bits")
-    ids = F.least(x, y).alias("low_id"), F.greatest(x, y).alias("high_id")
-    return attach(pairs, seen(a), seen(b)).select("class_a", "class_b", *(f().alias(n) for n, f in PARTS.items()), (x == y).alias("same"), n_x.alias("n_x"), n_y.alias("n_y"), *ids)
-
-
-def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distances of rows that come by class, the most promising first; a pair that can't reach its class's best is left out."""
-    at, best, own = None, 0.0, None
-    for batch in batches:
-        found: list[int] = []
-        for key, same, x, y, base, upper, floor in zip(batch.class_a, batch.same, batch.x, batch.y, batch.base, batch.upper, batch.best, strict=True):
-            if key != at:
-                at, best, own = key, floor, None
-            best = max(best, floor)
-            distance = 0 if same else -1
-            if not same and upper >= best - NEAR:
-                own = stretches(x) if own is None else own
-                least = max(1, least_distance(own, stretches(y), abs(len(x) - len(y))))
-                if base + 0.12 / least**0.5 >= best - NEAR:
-                    distance = bit_distance(x, y)
-            if distance >= 0:
-                best = max(best, base + (0.12 / distance**0.5 if distance else 0.15))
-            found.append(distance)
-        out = batch[["class_a", "class_b", *PARTS]].assign(distance=np.array(found, "int32"))
-        yield out[out.distance >= 0]
+    """(class_a, class_b, three sub-scores, same, n_x, n_y): codes stay behind, but for whether they are the same and their lengths."""
+    return _in_tiles(pairs, a, b)
 
 
 def _dealt(rows: DataFrame, key: str, other: str) -> tuple[DataFrame, int]:
@@ -140,26 +155,31 @@ def _totalled(distances: DataFrame) -> DataFrame:
 
 
 def _aligned(parts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Contenders with their distances. Codes are attached last, and only to pairs of different ones."""
+    """Contenders with their distances. Packed codes are attached last, and only to pairs of different ones; of a class the
+    most promising pairs are aligned first, and a pair that can't reach its class's best so far is left out."""
     rows, tasks = _dealt(parts, "class_a", "class_b")
-    keys = ["class_a", "part"]
-    left = rows.join(b.select(F.col("class_name").alias("class_b"), F.col("code").alias("y")), "class_b").withColumn("y", F.when(~F.col("same"), F.col("y")))
-    right = rows.where(~F.col("same")).select(*keys).distinct().join(a.select(F.col("class_name").alias("class_a"), F.col("code").alias("x")), "class_a")
-    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys, "left").withColumn("x", F.when(~F.col("same"), F.col("x")))
-    dealt = met.sortWithinPartitions(*keys, F.desc("upper"), "class_b")
-    kinds = "class_a string, class_b string, fields_score double, class_score double, method_score double, distance int"
-    return dealt.select("class_a", "class_b", *PARTS, "same", "x", "y", "base", "upper", "best").mapInPandas(_distances, kinds)
+    keys, kept = ["class_a", "part"], ["class_b", *PARTS, "base", "upper"]
+    code = lambda df, s, c: df.select(F.col("class_name").alias(f"class_{s}"), F.col("code").alias(c))
+    left = rows.where(~F.col("same")).join(code(b, "b", "y"), "class_b").unionByName(rows.where("same").withColumn("y", F.lit(None).cast("binary")))
+    right = rows.where(~F.col("same")).select(*keys).distinct().join(code(a, "a", "x"), "class_a").repartition(tasks, *keys)
+    row = F.struct((-F.col("upper")).alias("order"), *kept, "y")
+    met = left.repartition(tasks, *keys).groupBy(*keys).agg(F.max("best").alias("best"), F.sort_array(F.collect_list(row)).alias("rows")).join(right, keys, "left")
+    found = best_distances(parts.sparkSession, F.col("x"), F.col("rows.y"), F.col("rows.base"), F.col("rows.upper"), F.col("best"))
+    small = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("class_b", *PARTS))))
+    each = met.select("class_a", small.alias("rows"), found.alias("found")).select("class_a", F.explode(F.arrays_zip("rows", "found")).alias("z"))
+    return each.where("z.found >= 0").select("class_a", "z.rows.*", F.col("z.found").alias("distance"))
 
 
 def _code_distances(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(low_id, high_id, distance) of the different codes that meet in ``pairs``, each two of them once however many classes have them.
     Codes are shuffled packed, as each pair carries one."""
-    spark = pairs.sparkSession
+    spark, a, b = pairs.sparkSession, small(a), small(b)
     ids = lambda df, s: df.select(F.col("class_name").alias(f"class_{s}"), _code_id().alias(f"id_{s}"))
     met = pairs.join(ids(a, "a"), "class_a").join(ids(b, "b"), "class_b").where("id_a <> id_b")
     found = met.select(F.least("id_a", "id_b").alias("low_id"), F.greatest("id_a", "id_b").alias("high_id")).distinct()
     rows, tasks = _dealt(found, "low_id", "high_id")
-    codes = a.select("code").unionByName(b.select("code")).select(_code_id().alias("id"), packed(spark, F.col("code")).alias("code")).dropDuplicates(["id"])
+    own = lambda df: df.select(_code_id().alias("id"), "code")
+    codes = own(a).unionByName(own(b)).dropDuplicates(["id"])
     named = lambda i, c: codes.select(F.col("id").alias(i), F.col("code").alias(c))
     keys = ["low_id", "part"]
     left = rows.join(named("high_id", "y"), "high_id").repartition(tasks, *keys)
@@ -178,16 +198,17 @@ def _bounded(parts: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(class_a, class_b, the four sub-scores, score); ``a`` and ``b`` come from ``score_features``."""
-    parts = sub_scores(pairs, a, b).join(_code_distances(pairs, a, b), ["low_id", "high_id"], "left")
+    """(class_a, class_b, the four sub-scores, score); ``a`` and ``b`` come from ``score_features``, or are ``small`` ones."""
+    a, b = small(a), small(b)
+    parts = _in_tiles(pairs, a, b, ids=True).join(_code_distances(pairs, a, b), ["low_id", "high_id"], "left")
     return _totalled(parts.withColumn("distance", F.when(F.col("same"), 0).otherwise(F.col("distance"))))
 
 
 def score_contenders(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """``score_pairs`` of the pairs that can be a class's best; only those are aligned.
 
-    Pairs whose upper bound is below their class's best lower bound are left out before codes are attached. Of
-    the rest a class's pairs are aligned the most promising first, and a pair is left out if the stretches of its codes
-    show that it can't reach the best so far. Features are attached once.
+    Pairs whose upper bound is below their class's best lower bound are left out before codes are attached, most of them
+    before they are shuffled.
     """
-    return _totalled(_aligned(_bounded(sub_scores(pairs, a, b)).where(F.col("upper") >= F.col("best") - NEAR), a, b))
+    a, b = small(a), small(b)
+    return _totalled(_aligned(_bounded(_in_tiles(pairs, a, b, near=NEAR)).where(F.col("upper") >= F.col("best") - NEAR), a, b))

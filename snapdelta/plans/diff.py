@@ -14,13 +14,13 @@ from snapdelta.operators.features import COMPONENTS, unmapped_opcodes
 from snapdelta.operators.filters import is_empty, is_excluded, without_excluded
 from snapdelta.operators.matching import added, best_above, best_match, candidate_report, deleted, name_absent, summary
 from snapdelta.operators.near_dup import near_dup_join, with_signature
-from snapdelta.operators.scoring import score_columns, score_contenders, score_pairs, sub_scores
+from snapdelta.operators.scoring import score_columns, score_contenders, score_features, score_pairs, small, sub_scores
 
 
 @dataclass(frozen=True)
 class Diff:
     """``classes`` holds both snapshots ('a' and 'b'). Signatures with score features, and pairs, are
-    kept (memory and disk) as several results read them; ``release`` lets them go. ``exclusions`` is a
+    kept (memory and disk, packed) as several results read them; ``release`` lets them go. ``exclusions`` is a
     table of excluded name parts (column ``value``), beside the few that the settings hold."""
 
     classes: DataFrame
@@ -35,7 +35,9 @@ class Diff:
     @cached_property
     def signed(self) -> DataFrame:
         made = with_signature(self.internal.where(~is_empty()))
-        return made.select("snapshot", "class_name", *COMPONENTS, unmapped_opcodes().alias("unmapped"), *(c.alias(n) for n, c in score_columns().items())).persist()
+        kept = made.select("snapshot", "class_name", *COMPONENTS, unmapped_opcodes().alias("unmapped"), *(c.alias(n) for n, c in score_columns().items()))
+        seen = small(kept)
+        return seen.select("snapshot", "class_name", "code", *(c for c in seen.columns if c not in ("snapshot", "class_name", "code"))).persist()
 
     def side(self, snapshot: str) -> DataFrame:
         return self.signed.where(F.col("snapshot") == snapshot)
@@ -47,6 +49,10 @@ class Diff:
     def features(self, snapshot: str) -> DataFrame:
         return self.side(snapshot).drop("snapshot", "unmapped", *COMPONENTS)
 
+    def plain_features(self, snapshot: str) -> DataFrame:
+        """With sets and codes as they are, computed again."""
+        return score_features(self.internal.where(~is_empty() & (F.col("snapshot") == snapshot)))
+
     @cached_property
     def sub_scored(self) -> DataFrame:
         """Pairs with the sub-scores that need no code."""

@@ -145,7 +145,7 @@ def summary_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def _attached(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
     diff = _keyed_diff(spark, d)
-    return _kept_for(attach(diff.pairs, diff.features("a"), diff.features("b")).select(_shown("class_a"), _shown("class_b"), *columns), diff)
+    return _kept_for(attach(diff.pairs, diff.plain_features("a"), diff.plain_features("b")).select(_shown("class_a"), _shown("class_b"), *columns), diff)
 
 
 def jaccard_query(spark: SparkSession, d: str) -> DataFrame:

@@ -543,3 +543,45 @@ def test_classes_without_a_name_equal_sql(spark, tmp_path, name):
     d = documents_dir(spark, tmp_path, [(i, TEXTS[(i // 8) % 2], langs[i % 8]) for i in range(24)])
     got, want = spark_rows(entry.queries()[name](spark, d)), sql_rows(entry.oracle_sql()[name], d)
     assert any(None in r for r in want[1]) and got == want
+
+
+def test_tiles_equal_columns(spark, monkeypatch):
+    """Features went along with each pair, 2.7 KB of them, so the shuffle grew as the pairs; a class's go to each tile once now."""
+    monkeypatch.setattr(scoring, "PARTS_AT_LEAST", 3)
+    diff = Diff(load(spark, "/root/testdata/sf0.001"))
+    a, b = (diff.plain_features(s).persist() for s in "ab")
+    # also classes without sets, with null members and with numbers that are missing
+    odd = lambda df: df.withColumns({"f_access": F.when(F.col("n_methods") % 5 > 0, F.col("f_access")), "m_access": F.concat("m_access", F.array(F.lit(None).cast("string"))), "reads": F.when(F.col("n_methods") % 7 > 0, F.col("reads"))})
+    for x, y in ((a, b), (odd(a), odd(b))):
+        names = x.select(F.col("class_name").alias("class_a")).orderBy("class_a").limit(40).crossJoin(y.select(F.col("class_name").alias("class_b")).orderBy("class_b").limit(30))
+        want = scoring.attach(names, x, y).select("class_a", "class_b", *(f().alias(n) for n, f in scoring.PARTS.items()), (F.col("a.code") == F.col("b.code")).alias("same"), F.length("a.code").alias("n_x"), F.length("b.code").alias("n_y"))
+        assert sorted(map(str, scoring.sub_scores(names, x, y).collect())) == sorted(map(str, want.collect()))
+    plan = diff.contenders._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "BestDistances(" in plan and "MapInPandas" not in plan
+    a.unpersist(), b.unpersist(), diff.release()
+
+
+def test_best_distances(spark):
+    """Exact wherever the total can reach the best; left out only where it can't."""
+    from snapdelta.functions import bits
+
+    rng = random.Random(29)
+    draw = lambda n: "".join(rng.choices("01", k=n))
+    own = draw(2500)
+    others = [own[:900] + draw(5) + own[910:], own[40:] + draw(30), draw(2500), draw(2300), own[:60] + draw(2000), None, own[:1200]]
+    rows = [(own, x, floor, [o for o in others if o or x == "all"]) for floor in (0.0, 0.3, 0.31) for x in ("all", "different")]
+    pack = lambda c: bits.packed(spark, c)
+    df = spark.createDataFrame(rows, "own string, kind string, floor double, others array<string>")
+    ys = df.select("own", "kind", "floor", "others", F.posexplode("others").alias("i", "y")).withColumn("y", pack(F.col("y"))).groupBy("own", "kind", "floor", "others").agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("y"))
+    bases = lambda: F.transform("others", lambda o: F.when(F.length(o) == 2500, 0.299).otherwise(0.3))
+    got = ys.select("own", "others", "floor", bits.best_distances(spark, pack(F.col("own")), F.col("y.y"), bases(), F.transform("others", lambda o: F.lit(1.0)), F.col("floor")).alias("d")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        best, left_out = r.floor, 0
+        for o, d in zip(r.others, r.d, strict=True):
+            want, base = (0, 0.3) if o is None else (scores.bit_distance(own, o), 0.299 if len(o) == 2500 else 0.3)
+            total = base + (0.12 / want**0.5 if want else 0.15)
+            assert d == want or d == -1 and total < best - scoring.NEAR
+            left_out += d == -1
+            best = max(best, total if d >= 0 else 0)
+        assert left_out
