@@ -85,7 +85,7 @@ def _total() -> Column:
 
 #: Scores that differ by less can come out equal: of those near one, and of those that agree in nine decimals.
 NEAR = 2e-7
-#: Pairs of a class that are aligned one after the other; a class with more is dealt to several tasks.
+#: Pairs of a class that are held at once and aligned one after the other.
 ALIGNED = 256
 
 
@@ -112,15 +112,13 @@ def small(features: DataFrame) -> DataFrame:
 def _tiles(pairs: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features, pairs) by tile: a part of the one side against a part of the other. A class's features go to a tile
     once, however many pairs it has there, so what is shuffled follows the classes and not the pairs."""
-    classes = F.greatest(*(F.approx_count_distinct(c) for c in ("class_a", "class_b")))
-    parts = pairs.agg(F.greatest(F.lit(PARTS_AT_LEAST), F.ceil(classes / PART)).cast("int").alias("parts"))
+    every = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    parts = every.agg(F.greatest(F.lit(PARTS_AT_LEAST), F.ceil(F.count("*") / (2 * PART))).cast("int").alias("parts"))
     at = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
     met = pairs.select("class_a", "class_b").crossJoin(F.broadcast(parts)).select("class_a", "class_b", (at("class_a") * F.col("parts") + at("class_b")).alias("tile"))
-    rows = []
-    for s, df in (("a", a), ("b", b)):
-        seen = small(df).withColumn("code_id", _code_id()).drop("code")
-        rows.append(met.select(F.col(f"class_{s}").alias("class_name"), "tile").distinct().join(seen, "class_name").withColumn("side", F.lit(s)))
-    return rows[0].unionByName(rows[1]), met
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"class_{s}").alias("class_name")) for s in "ab"))
+    needed = met.select("tile", F.explode(sides).alias("s")).select("s.side", "s.class_name", F.col("tile").alias("at")).distinct()
+    return needed.join(small(every).withColumn("code_id", _code_id()).drop("code"), ["side", "class_name"]), met
 
 
 def _in_tiles(pairs: DataFrame, a: DataFrame, b: DataFrame, *, ids: bool = False, near: float | None = None) -> DataFrame:
@@ -132,8 +130,7 @@ def _in_tiles(pairs: DataFrame, a: DataFrame, b: DataFrame, *, ids: bool = False
 
     features, met = _tiles(pairs, a, b)
     kinds = "class_a string, class_b string, fields_score double, class_score double, method_score double, same boolean, n_x int, n_y int" + ", low_id binary, high_id binary" * ids
-    own = features.withColumn("at", F.col("tile")).drop("tile")  # both come from the pairs, and a name has to tell them apart
-    return own.groupBy("at").cogroup(met.groupBy("tile")).applyInArrow(run, kinds)
+    return features.groupBy("at").cogroup(met.groupBy("tile")).applyInArrow(run, kinds)
 
 
 def sub_scores(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -158,15 +155,14 @@ def _aligned(parts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Contenders with their distances. Packed codes are attached last, and only to pairs of different ones; of a class the
     most promising pairs are aligned first, and a pair that can't reach its class's best so far is left out."""
     rows, tasks = _dealt(parts, "class_a", "class_b")
-    keys, kept = ["class_a", "part"], ["class_b", *PARTS, "base", "upper"]
     code = lambda df, s, c: df.select(F.col("class_name").alias(f"class_{s}"), F.col("code").alias(c))
-    left = rows.where(~F.col("same")).join(code(b, "b", "y"), "class_b").unionByName(rows.where("same").withColumn("y", F.lit(None).cast("binary")))
-    right = rows.where(~F.col("same")).select(*keys).distinct().join(code(a, "a", "x"), "class_a").repartition(tasks, *keys)
-    row = F.struct((-F.col("upper")).alias("order"), *kept, "y")
-    met = left.repartition(tasks, *keys).groupBy(*keys).agg(F.max("best").alias("best"), F.sort_array(F.collect_list(row)).alias("rows")).join(right, keys, "left")
+    left = rows.join(code(b, "b", "y"), "class_b").withColumn("y", F.when(~F.col("same"), F.col("y")))  # the plan has what goes before once
+    row = F.struct((-F.col("upper")).alias("order"), "class_b", *PARTS, "base", "upper", "y")
+    grouped = left.repartition(tasks, "class_a").groupBy("class_a", "part").agg(F.max("best").alias("best"), F.sort_array(F.collect_list(row)).alias("rows"))
+    met = grouped.join(code(a, "a", "x").repartition(tasks, "class_a"), "class_a")
     found = best_distances(parts.sparkSession, F.col("x"), F.col("rows.y"), F.col("rows.base"), F.col("rows.upper"), F.col("best"))
-    small = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("class_b", *PARTS))))
-    each = met.select("class_a", small.alias("rows"), found.alias("found")).select("class_a", F.explode(F.arrays_zip("rows", "found")).alias("z"))
+    shown = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("class_b", *PARTS))))
+    each = met.select("class_a", shown.alias("rows"), found.alias("found")).select("class_a", F.explode(F.arrays_zip("rows", "found")).alias("z"))
     return each.where("z.found >= 0").select("class_a", "z.rows.*", F.col("z.found").alias("distance"))
 
 
